@@ -20,6 +20,7 @@ from finchlab.operators.sampling import assign_folds
 from finchlab.plans.adaboost import AdaBoost
 from finchlab.plans.features import PostFeatures
 from finchlab.plans.vectors import FittedVectors
+from finchlab.session import stage_table
 from finchlab.sources.readers import single_post
 
 SEED = 123
@@ -112,6 +113,12 @@ FOREST_GRID = {
 }
 
 
+def _folded(train: DataFrame, folds: int, key: str) -> DataFrame:
+    """Stratified folds as a written table: every fold's fit reads it again."""
+    columns = [key, "target", "features"]
+    return stage_table(assign_folds(train.select(*columns), folds, key, SEED, "target"), "folds")
+
+
 def grid_search(
     train: DataFrame,
     key: str,
@@ -135,7 +142,7 @@ def grid_search(
         collectSubModels=True,
         seed=SEED,
     )
-    return search.fit(assign_folds(train, folds, key, SEED, "target"))
+    return search.fit(_folded(train, folds, key))
 
 
 def grid_results(found: CrossValidatorModel, spark: SparkSession) -> DataFrame:
@@ -157,7 +164,7 @@ def grid_results(found: CrossValidatorModel, spark: SparkSession) -> DataFrame:
 def train_recalls(found: CrossValidatorModel, train: DataFrame, key: str) -> list[list[float]]:
     """Recall of every fold's model on the rows it was trained on, per combination."""
     folds = found.getNumFolds()
-    folded = assign_folds(train, folds, key, SEED, "target")
+    folded = _folded(train, folds, key)
     judge = recall_evaluator()
     return [
         [
@@ -172,7 +179,7 @@ def cross_validated_recall(
     train: DataFrame, key: str, estimator: Estimator, folds: int = 10, parallelism: int = 4
 ) -> float:
     """Mean recall over stratified folds."""
-    folded = assign_folds(train, folds, key, SEED, "target")
+    folded = _folded(train, folds, key)
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=[{}],

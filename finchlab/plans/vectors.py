@@ -12,7 +12,13 @@ from dataclasses import dataclass, field
 
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    VectorAssembler,
+    VectorSizeHint,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -308,6 +314,10 @@ def fit_vectors(
             slices[block.name] = [row["term"] for row in rows]
     if numerics:
         stages.append(scaler)
+        # tells the assembler the width, which it would otherwise read from a row
+        stages.append(
+            VectorSizeHint(inputCol="numerics", size=len(numerics), handleInvalid="optimistic")
+        )
         slices["numerics"] = list(numerics)
     stages.append(VectorAssembler(inputCols=list(slices), outputCol=output))
     names = [name for part in slices.values() for name in part]

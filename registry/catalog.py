@@ -5,8 +5,10 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from finchlab.functions import text as X
 from finchlab.operators import filters, knn, metrics, sampling
 from finchlab.operators.lemmas import LemmaLookup, lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.ranking import first_per_key
-from finchlab.plans import corpus, reports
+from finchlab.plans import corpus, models, reports
+from finchlab.plans.adaboost import AdaBoost
 from finchlab.plans.features import model_columns, post_features
 from finchlab.plans.vectors import (
     BLOCKS,
@@ -23,6 +26,7 @@ from finchlab.plans.vectors import (
     HASHTAGS,
     WORDS,
     Block,
+    combined_features,
     fit_scaler,
     fit_vectors,
     long_form,
@@ -30,8 +34,11 @@ from finchlab.plans.vectors import (
     vocabulary,
 )
 from finchlab.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES
-from finchlab.session import spread, stage_table
+from finchlab.session import checkpoint_dir, spread, stage_table
 from finchlab.sources.seeds import collect_by_seed
+from finchlab.sources.writers import write_table
+from finchlab.streaming.ingest import ingest_available, stream_files
+from finchlab.streaming.scoring import score_available
 from registry import duck
 from registry.posts import labelled_posts, posts, table
 
@@ -743,3 +750,160 @@ def knn_k_sweep(spark, sf):
 @query(f"{_SWEEP} select k, accuracy, recall from swept order by recall desc, k limit 1")
 def knn_best_k(spark, sf):
     return knn.best_k(_swept(spark, sf), "recall")
+
+
+# ---- models (trained: no SQL equivalent) -----------------------------------
+
+_fitted: dict[tuple, tuple] = {}
+
+
+def _split_features(spark, sf):
+    """Fitted vectors and staged (train, test, validation); once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        features = staged_features(spark, sf)
+        train, test, valid = sampling.three_way_split(features, 0.1, 0.2, "post_id", SEED)
+        test = sampling.rebalance(test, 0.1, "post_id", SEED)
+        valid = sampling.rebalance(valid, 0.1, "post_id", SEED)
+        train = stage_table(train, "train")
+        vectors, parts = combined_features(train, test, valid)
+        columns = ["post_id", "target", "features"]
+        staged = [stage_table(part.select(*columns), "vectors") for part in parts]
+        _fitted[key] = (vectors, *staged)
+    return _fitted[key]
+
+
+_models: dict[tuple, object] = {}
+
+
+def _model(spark, sf, name, estimator_of):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _models:
+        _, train, _, _ = _split_features(spark, sf)
+        _models[key] = estimator_of(train).fit(train)
+    return _models[key]
+
+
+def _model_query(name: str, estimator_of) -> None:
+    @query(name=name)
+    def run(spark, sf):
+        _, _, test, _ = _split_features(spark, sf)
+        scored = models.with_probability(_model(spark, sf, name, estimator_of).transform(test))
+        return scored.select("post_id", "target", "prediction", "y_pred_proba")
+
+
+_model_query("logreg", lambda train: models.logistic_regression(train.count()))
+_model_query("dtree", lambda train: models.decision_tree(5))
+_model_query("rforest", lambda train: models.random_forest(depth=6))
+_model_query("rforest_tuned", lambda train: models.random_forest(*models.TUNED_FORESTS[1]))
+_model_query("gbt", lambda train: models.boosted_trees(rounds=20))
+_model_query("adaboost", lambda train: AdaBoost(rounds=10))
+_model_query("adaboost_by_class", lambda train: AdaBoost(rounds=10, algorithm="SAMME"))
+
+
+@query()
+def combined_matrix(spark, sf):
+    vectors, train, _, _ = _split_features(spark, sf)
+    return train.select("post_id", "target", vector_to_array("features").alias("features"))
+
+
+@query()
+def importances(spark, sf):
+    vectors, train, _, _ = _split_features(spark, sf)
+    model = _model(spark, sf, "rforest", lambda train: models.random_forest(depth=6))
+    return models.importances(model, vectors.names, train, top=10)
+
+
+@query()
+def coefficients(spark, sf):
+    vectors, train, _, _ = _split_features(spark, sf)
+    model = _model(spark, sf, "logreg", lambda train: models.logistic_regression(train.count()))
+    return models.coefficients(model, vectors.names, train)
+
+
+@query()
+def model_comparison(spark, sf):
+    _, train, test, _ = _split_features(spark, sf)
+    estimators = {
+        "logistic regression": models.logistic_regression(train.count()),
+        "decision tree": models.decision_tree(5),
+        "random forest": models.random_forest(trees=20, depth=6),
+    }
+    return models.bake_off(train, test, estimators)[1]
+
+
+@query()
+def best_model(spark, sf):
+    order = F.when(F.col("estimator") == "logistic regression", 0).otherwise(1)
+    table = model_comparison(spark, sf).withColumn("position", order)
+    return metrics.best_by_recall(table, "position")
+
+
+@query()
+def grid_search(spark, sf):
+    _, train, _, _ = _split_features(spark, sf)
+    found = models.grid_search(
+        train,
+        "post_id",
+        models.random_forest(trees=10, depth=4),
+        {"impurity": ["gini", "entropy"], "maxDepth": [4, 6]},
+    )
+    return models.grid_results(found, spark)
+
+
+@query()
+def cv_recall(spark, sf):
+    _, train, _, _ = _split_features(spark, sf)
+    recall = models.cross_validated_recall(
+        train, "post_id", models.decision_tree(5), folds=10
+    )
+    return spark.createDataFrame([("decision tree", recall)], "estimator string, mean_recall double")
+
+
+def _scorer(spark, sf):
+    vectors, _, _, _ = _split_features(spark, sf)
+    classifier = _model(spark, sf, "logreg", lambda train: models.logistic_regression(train.count()))
+    return models.scoring_model(vectors, classifier, keep=["post_id"])
+
+
+@query()
+def score_posts(spark, sf):
+    scored = models.score(_scorer(spark, sf), labelled_posts(spark, sf, heavy=True))
+    return scored.select("post_id", "prediction", "y_pred_proba")
+
+
+@query()
+def knn_classifier(spark, sf):
+    """Neighbours in the model matrix: test posts against train posts."""
+    _, train, test, _ = _split_features(spark, sf)
+
+    def dense(df):
+        return df.select("post_id", "target", vector_to_array("features").alias("vector"))
+
+    near = knn.nearest(dense(train), dense(test), 5, key="post_id", label="target")
+    return knn.vote(near)
+
+
+# ---- streaming -------------------------------------------------------------
+
+
+@query("select event_id, user_id, event_type, value from events")
+def stream_ingest(spark, sf):
+    """Batch and stream see the same rows: the landed files, each once."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    folder = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    landed = stream_files(spark, sf, events.schema, name_filter="events.parquet")
+    ingest_available(landed, f"{folder}/table", f"{folder}/checkpoint")
+    return spark.read.schema(events.schema).parquet(f"{folder}/table")
+
+
+@query()
+def stream_scores(spark, sf):
+    columns = ["post_id", "author", "content", "publish_date", "target"]
+    arrived = labelled_posts(spark, sf).select(*columns)
+    folder = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
+    write_table(arrived, f"{folder}/landing")
+    stream = stream_files(spark, f"{folder}/landing", arrived.schema)
+    model = _scorer(spark, sf)
+    score_available(model, stream, f"{folder}/table", f"{folder}/checkpoint", ["post_id"])
+    return spark.read.parquet(f"{folder}/table")
