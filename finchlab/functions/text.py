@@ -147,19 +147,13 @@ def space_terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), rf"[{P.SPACE}]+"), "")
 
 
-def ngrams(words: Column, longest: int) -> Column:
-    """All 1..`longest`-grams of a list; a null word breaks every n-gram over it.
+def longer_grams(words: Column, grams: Column, n: int) -> Column:
+    """n-grams from the (n-1)-grams of the same list, one pass over the list.
 
-    Each length is one `zip_with` of the previous one with the shifted list, so
-    the work is linear in the number of words.
+    A null word makes every n-gram over it null.
     """
-    parts = [words]
-    for n in range(2, longest + 1):
-        shifted = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
-        parts.append(
-            F.zip_with(parts[-1], shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-        )
-    return F.array_compact(F.concat(*parts) if len(parts) > 1 else words)
+    shifted = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+    return F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def emoticon_count(text: Column, emoticons: Sequence[str]) -> Column:

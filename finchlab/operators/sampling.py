@@ -84,13 +84,21 @@ def sample_exact(
     `n` is a number, a scalar subquery or a function of the row count.
     """
 
+    too_many = F.raise_error(F.lit("cannot take a larger sample than there are rows"))
+
     def target(total: Column) -> list[Column]:
         size = n(total) if callable(n) else (n if isinstance(n, Column) else F.lit(n))
-        too_many = F.raise_error(F.lit("cannot take a larger sample than there are rows"))
         return [F.when(size > total, too_many.cast("bigint")).otherwise(size)]
 
-    cuts = _cuts(df, key, seed, target, 1).scalar()
-    return df.filter(_up_to(hash_of(F.col(key), seed), cuts[0]))
+    cuts = _cuts(df, key, seed, target, 1)
+    if not callable(n):
+        # an empty input has no row on which the check above could run
+        size = n if isinstance(n, Column) else F.lit(n)
+        missing = F.col("_cuts")[0].isNull() & (size > 0)
+        cuts = cuts.select(
+            F.when(missing, too_many.cast("array<string>")).otherwise(F.col("_cuts"))
+        )
+    return df.filter(_up_to(hash_of(F.col(key), seed), cuts.scalar()[0]))
 
 
 def label_split(

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from finchlab.functions import patterns as P
 from finchlab.functions import text as X
+from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import top_k_per_group
 
 
 def hashtag_counts(posts: DataFrame, pattern: str = P.HASHTAG) -> DataFrame:
     """(hashtag, counts), case-sensitive, most frequent first."""
     return (
-        posts.select(F.explode(X.matches(F.col("content"), pattern)).alias("hashtag"))
+        exploded(posts, X.matches(F.col("content"), pattern), "hashtag")
         .groupBy("hashtag")
         .agg(F.count("*").alias("counts"))
         .orderBy(F.col("counts").desc(), "hashtag")
@@ -75,11 +76,8 @@ def class_terms(
     counts, so the text is read once.
     """
     per_class = (
-        features.select(
-            F.col(label).cast("string").alias("class"),
-            F.explode(X.space_terms(F.col(text))).alias("term"),
-        )
-        .groupBy("class", "term")
+        exploded(features, X.space_terms(F.col(text)), "term", [label])
+        .groupBy(F.col(label).cast("string").alias("class"), "term")
         .agg(F.count("*").alias("count"))
     )
     if with_all:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from finchlab.functions import patterns as P
 from finchlab.functions import text as X
+from finchlab.operators.lists import exploded, with_ngrams
 from finchlab.operators.ranking import top_k_per_group
 from finchlab.schemas import NUMERIC_FEATURES
 
@@ -68,7 +69,7 @@ def frequent_words(features: DataFrame, block: Block) -> list[str] | None:
     the set of such words open; n-grams are then counted without pruning.
     """
     counts = (
-        features.select(F.explode(block.terms()).alias("term"))
+        exploded(features, block.terms(), "term")
         .groupBy("term")
         .agg(F.count("*").alias("cf"))
         .orderBy(F.col("cf").desc(), "term")
@@ -97,30 +98,30 @@ def term_counts(
     `prune` leaves out n-grams that cannot be among a block's top terms. Occurrences and first occurrences are exploded side by side and summed per
     term, so nothing is shuffled per (post, term).
     """
-    lists, tallies = [], []
+
+    def tally(block: str, items: Column, cf: int, df: int) -> Column:
+        return F.transform(
+            items,
+            lambda t: F.struct(
+                F.lit(block).alias("block"),
+                t.alias("term"),
+                F.lit(cf).alias("cf"),
+                F.lit(df).alias("df"),
+            ),
+        )
+
+    listed = features.select(*dict.fromkeys(block.column for block in blocks))
+    tallies = []
     for block in blocks:
         keep = frequent_words(features, block) if prune and block.longest > 1 else None
-        terms = X.ngrams(_masked(block.terms(), keep), block.longest)
-        lists.append(terms.alias(block.name))
-
-        def tally(items: Column, cf: int, df: int, name: str = block.name) -> Column:
-            return F.transform(
-                items,
-                lambda t: F.struct(
-                    F.lit(name).alias("block"),
-                    t.alias("term"),
-                    F.lit(cf).alias("cf"),
-                    F.lit(df).alias("df"),
-                ),
-            )
-
-        tallies.append(tally(F.col(block.name), 1, 0))
-        tallies.append(tally(F.array_distinct(F.col(block.name)), 0, 1))
+        name = f"{block.name}_terms"
+        listed = with_ngrams(listed, _masked(block.terms(), keep), block.longest, name)
+        tallies.append(tally(block.name, F.col(name), 1, 0))
+        tallies.append(tally(block.name, F.array_distinct(F.col(name)), 0, 1))
     return (
-        features.select(*lists)
-        .select(F.inline(F.concat(*tallies)))
-        .groupBy("block", "term")
-        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+        exploded(listed, F.concat(*tallies), "t")
+        .groupBy(F.col("t.block").alias("block"), F.col("t.term").alias("term"))
+        .agg(F.sum("t.cf").alias("cf"), F.sum("t.df").alias("df"))
     )
 
 
@@ -182,12 +183,7 @@ class TermLists(Transformer, DefaultParamsReadable, DefaultParamsWritable):
             get(self.stopWords),
         )
         known = get(self.keep)
-        terms = block.terms()
-        if block.longest == 1:
-            terms = F.filter(terms, lambda t: t.isin(known))
-        else:
-            terms = X.ngrams(_masked(terms, known), block.longest)
-        return dataset.withColumn(block.name, terms)
+        return with_ngrams(dataset, _masked(block.terms(), known), block.longest, block.name)
 
 
 class PopulationScaler(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -340,7 +336,8 @@ def long_form(vectors: DataFrame, key: str, fitted: FittedVectors) -> DataFrame:
         )
 
     parts = [named(block, names) for block, names in fitted.slices.items()]
-    return vectors.select(key, F.inline(F.concat(*parts))).filter(F.col("weight") != 0)
+    weights = exploded(vectors, F.concat(*parts), "w", [key])
+    return weights.filter(F.col("w.weight") != 0).select(key, "w.block", "w.term", "w.weight")
 
 
 def combined_features(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finchlab.functions import text as X
+from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import top_k_per_group
 
 # fixed values: seed hashtag and row cap; the empty seed takes any post
@@ -126,8 +127,8 @@ def collect_by_seed(
     if verified:
         wanted = wanted.filter(F.col(verified))
     tags = F.array_distinct(F.transform(X.hashtags(F.col("content")), F.lower))
-    tagged = wanted.select(
-        key, "publish_date", F.explode(F.array_append(tags, F.lit(""))).alias("_tag")
+    tagged = exploded(
+        wanted, F.array_append(tags, F.lit("")), "_tag", [key, "publish_date"]
     )
     table = posts.sparkSession.createDataFrame(
         [(seed, seed.lower(), cap) for seed, cap in seeds], "seed string, _tag string, cap int"
