@@ -36,6 +36,16 @@ LOOSE_MENTION = rf"(@[{WORD}]*)"
 # fixed values: order in which a post is cleaned
 CLEANING_ORDER = [URL, PICTURE, MENTION, HASHTAG, RESERVED, EMOJI, SMILEY, NUMBER]
 
+# fixed values: a match contains one of these, so a text without them needs no regex
+NEEDLES = {
+    URL: ["http"],
+    PICTURE: ["twitter"],
+    MENTION: ["@"],
+    HASHTAG: ["#"],
+    RESERVED: ["RT", "FAV"],
+    SMILEY: [":", ";", "="],
+}
+
 # fixed values: words the tokeniser splits in two, as (head, tail)
 CONTRACTIONS = [
     ("can", "not"),

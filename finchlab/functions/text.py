@@ -43,6 +43,25 @@ def count_of(items: Column) -> Column:
     return F.size(items).cast("int")
 
 
+def may_match(text: Column, pattern: str) -> Column | None:
+    """A cheap test that is true for every text the pattern matches; None if there is none."""
+    if pattern == P.EMOJI:
+        return F.octet_length(text) > F.length(text)
+    needles = P.NEEDLES.get(pattern)
+    return reduce(or_, [text.contains(n) for n in needles]) if needles else None
+
+
+def match_count(text: Column, pattern: str) -> Column:
+    """Number of matches; `text` should be a plain column, it is read more than once."""
+    number = count_of(matches(text, pattern))
+    possible = may_match(text, pattern)
+    return number if possible is None else F.when(possible, number).otherwise(0)
+
+
+def character_count(text: Column, character: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))).cast("int")
+
+
 def urls(text: Column) -> Column:
     return matches(text, P.URL)
 

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finchlab.session import stage_table
+
 # 16^4 hash prefixes: the counts table has at most 65,536 rows at any scale
 PREFIX_DIGITS = 4
 
@@ -127,8 +129,13 @@ def label_split(
 def three_way_split(
     df: DataFrame, test_size: float, validation_size: float, key: str, seed: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, validation)."""
+    """(train, test, validation).
+
+    The labelled rows are written once, partitioned by split, so that the parts
+    are read without finding the cuts or scanning the other parts again.
+    """
     labelled = label_split(df, test_size, validation_size, key, seed)
+    labelled = stage_table(labelled, "split", ["split"])
     return tuple(
         labelled.filter(F.col("split") == part).drop("split")
         for part in ("train", "test", "validation")

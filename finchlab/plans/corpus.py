@@ -12,6 +12,7 @@ from finchlab.operators import filters
 from finchlab.operators.ranking import first_per_key
 from finchlab.operators.sampling import downsample_to
 from finchlab.schemas import POST_COLUMNS
+from finchlab.session import stage_table
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -45,13 +46,13 @@ def trim_step_counts(
 ) -> DataFrame:
     """Rows left after every step of `trim_posts`, in one pass over the input.
 
-    Distinct texts are counted from per-text sums, so the hot texts are combined
-    before the shuffle.
+    Distinct texts are counted from sums per text digest: hot texts are combined
+    before the shuffle, and 64 characters stand for a text of any length.
     """
     flagged = F.col("retweet") == 0
     original = flagged & ~F.col("content").startswith("RT ")
     native = original & (F.col("language") == language)
-    per_text = posts.groupBy("content").agg(
+    per_text = posts.groupBy(F.sha2("content", 256).alias("text")).agg(
         F.count("*").alias("all_rows"),
         F.count_if(flagged).alias("flagged"),
         F.count_if(original).alias("original"),
@@ -94,5 +95,11 @@ def control_posts(raw: DataFrame, order: list[str], keep: list[str] = ()) -> Dat
 def combined_corpus(
     labelled: DataFrame, control: DataFrame, key: str, seed: int = 123
 ) -> DataFrame:
-    """Both classes in equal number: the labelled posts are sampled down."""
-    return downsample_to(labelled, control, key, seed)
+    """Both classes in equal number: the labelled posts are sampled down.
+
+    Both inputs are written as stage tables first, because counting, finding the
+    cut and selecting read them three times and their deduplication is a shuffle.
+    """
+    return downsample_to(
+        stage_table(labelled, "labelled"), stage_table(control, "control"), key, seed
+    )

@@ -28,6 +28,22 @@ def add_count(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_count", X.count_of(F.col(column)))
 
 
+def with_clean_text(df: DataFrame, column: str, new_column: str) -> DataFrame:
+    """`clean` of a column, skipping every removal whose text cannot match.
+
+    One column per step, so that a step's text is computed once although the
+    test and the removal both read it.
+    """
+    text = F.col(column)
+    for pattern in P.CLEANING_ORDER:
+        possible = X.may_match(text, pattern)
+        removed = X.without(text, pattern)
+        step = removed if possible is None else F.when(possible, removed).otherwise(text)
+        df = df.withColumn(new_column, step)
+        text = F.col(new_column)
+    return df.withColumn(new_column, X.remove_punctuation(text))
+
+
 def post_features(
     posts: DataFrame,
     punctuation_source: str = "raw",
@@ -42,29 +58,23 @@ def post_features(
     """
     if punctuation_source not in ("raw", "clean"):
         raise ValueError("punctuation_source is 'raw' or 'clean'")
-    content = F.coalesce(F.col("content"), F.lit(""))
     carried = [*keep, "author", "publish_date", "target"]
-    parsed = posts.select(
-        *carried,
-        content.alias("_raw"),
-        X.clean(content).alias("_clean"),
-        X.emojis(content).alias("_emojis"),
-        X.hashtags(content).alias("_hashtags"),
-    )
     raw, clean = F.col("_raw"), F.col("_clean")
+    parsed = posts.select(*carried, F.coalesce(F.col("content"), F.lit("")).alias("_raw"))
+    parsed = with_clean_text(parsed, "_raw", "_clean")
     marks = raw if punctuation_source == "raw" else clean
     tokenised = parsed.select(
         *carried,
         "_raw",
-        "_emojis",
-        "_hashtags",
-        X.count_of(X.urls(raw)).alias("urls_count"),
-        X.count_of(X.mentions(raw)).alias("mentions_count"),
-        X.count_of(X.reserved_words(raw)).alias("reserved_words_count"),
-        X.count_of(X.matches(marks, P.EXCLAMATION)).alias("exclams_count"),
-        X.count_of(X.matches(marks, P.QUESTION)).alias("ques_marks_count"),
-        X.count_of(X.matches(marks, P.DOLLAR)).alias("dollar_marks_count"),
-        X.count_of(X.pictures(raw)).alias("pics_count"),
+        X.emojis(raw).alias("_emojis"),
+        X.hashtags(raw).alias("_hashtags"),
+        X.match_count(raw, P.URL).alias("urls_count"),
+        X.match_count(raw, P.MENTION).alias("mentions_count"),
+        X.match_count(raw, P.RESERVED).alias("reserved_words_count"),
+        X.character_count(marks, "!").alias("exclams_count"),
+        X.character_count(marks, "?").alias("ques_marks_count"),
+        X.character_count(marks, "$").alias("dollar_marks_count"),
+        X.match_count(raw, P.PICTURE).alias("pics_count"),
         X.pct_upper(clean).alias("pct_upper"),
         X.tokens(F.lower(clean)).alias("_tokens"),
     )

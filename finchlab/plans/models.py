@@ -90,11 +90,18 @@ def with_probability(predictions: DataFrame) -> DataFrame:
 
 
 def bake_off(
-    train: DataFrame, test: DataFrame, estimators: dict[str, Estimator]
+    train: DataFrame,
+    test: DataFrame,
+    estimators: dict[str, Estimator],
+    predictions: dict[str, DataFrame] | None = None,
 ) -> tuple[dict[str, Transformer], DataFrame]:
-    """Fit every estimator on `train`; compare F1 and recall on `test`."""
+    """Fit every estimator on `train`; compare F1 and recall on `test`.
+
+    `predictions` adds test predictions made elsewhere, such as neighbour votes.
+    """
     fitted = {name: estimator.fit(train) for name, estimator in estimators.items()}
     scored = {name: model.transform(test) for name, model in fitted.items()}
+    scored |= predictions or {}
     return fitted, comparison(scored, "target", "prediction")
 
 

@@ -765,7 +765,6 @@ def _split_features(spark, sf):
         train, test, valid = sampling.three_way_split(features, 0.1, 0.2, "post_id", SEED)
         test = sampling.rebalance(test, 0.1, "post_id", SEED)
         valid = sampling.rebalance(valid, 0.1, "post_id", SEED)
-        train = stage_table(train, "train")
         vectors, parts = combined_features(train, test, valid)
         columns = ["post_id", "target", "features"]
         staged = [stage_table(part.select(*columns), "vectors") for part in parts]
@@ -821,6 +820,15 @@ def coefficients(spark, sf):
     return models.coefficients(model, vectors.names, train)
 
 
+def _dense(df):
+    return df.select("post_id", "target", vector_to_array("features").alias("vector"))
+
+
+def _knn_predictions(train, test):
+    near = knn.nearest(_dense(train), _dense(test), 5, key="post_id", label="target")
+    return knn.vote(near).join(test.select(F.col("post_id").alias("query_id"), "target"), "query_id")
+
+
 @query()
 def model_comparison(spark, sf):
     _, train, test, _ = _split_features(spark, sf)
@@ -829,7 +837,8 @@ def model_comparison(spark, sf):
         "decision tree": models.decision_tree(5),
         "random forest": models.random_forest(trees=20, depth=6),
     }
-    return models.bake_off(train, test, estimators)[1]
+    others = {"k nearest neighbours": _knn_predictions(train, test)}
+    return models.bake_off(train, test, estimators, others)[1]
 
 
 @query()
@@ -876,12 +885,7 @@ def score_posts(spark, sf):
 def knn_classifier(spark, sf):
     """Neighbours in the model matrix: test posts against train posts."""
     _, train, test, _ = _split_features(spark, sf)
-
-    def dense(df):
-        return df.select("post_id", "target", vector_to_array("features").alias("vector"))
-
-    near = knn.nearest(dense(train), dense(test), 5, key="post_id", label="target")
-    return knn.vote(near)
+    return _knn_predictions(train, test)
 
 
 # ---- streaming -------------------------------------------------------------

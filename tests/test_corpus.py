@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from finchlab.functions import text as X
 from finchlab.operators import filters
 from finchlab.operators.ranking import first_per_key, top_k_per_group
 from finchlab.operators.sampling import (
@@ -188,6 +189,12 @@ def test_step_counts(spark):
     assert got == [("input", 6), ("retweet_flag", 5), ("retweet_prefix", 3), ("language", 2), ("distinct_text", 1)]
 
 
+def test_parse_timestamp(spark):
+    df = spark.createDataFrame([("10/1/2017 19:58",)], "s string")
+    parsed = df.select(X.parse_timestamp(F.col("s"), "M/d/yyyy H:mm")).first()[0]
+    assert parsed == datetime.datetime(2017, 10, 1, 19, 58)
+
+
 def test_default_seeds():
     seeds = default_seeds()
     assert len(seeds) == 74
