@@ -20,7 +20,7 @@ from finchlab.operators.sampling import assign_folds
 from finchlab.plans.adaboost import AdaBoost
 from finchlab.plans.features import PostFeatures
 from finchlab.plans.vectors import FittedVectors
-from finchlab.session import stage_table
+from finchlab.session import sized, stage_table
 from finchlab.sources.readers import single_post
 
 SEED = 123
@@ -123,7 +123,8 @@ FOREST_GRID = {
 def _folded(train: DataFrame, folds: int, key: str) -> DataFrame:
     """Stratified folds as a written table: every fold's fit reads it again."""
     columns = [key, "target", "features"]
-    return stage_table(assign_folds(train.select(*columns), folds, key, SEED, "target"), "folds")
+    folded = assign_folds(train.select(*columns), folds, key, SEED, "target")
+    return sized(stage_table(folded, "folds"))
 
 
 def grid_search(

@@ -329,7 +329,7 @@ def long_form(vectors: DataFrame, key: str, fitted: FittedVectors) -> DataFrame:
             vector_to_array(F.col(block)).alias("weight"),
         )
         return F.transform(
-            pairs,
+            F.filter(pairs, lambda e: e["weight"] != 0),
             lambda e: F.struct(
                 F.lit(block).alias("block"), e["term"].alias("term"), e["weight"].alias("weight")
             ),
@@ -337,7 +337,7 @@ def long_form(vectors: DataFrame, key: str, fitted: FittedVectors) -> DataFrame:
 
     parts = [named(block, names) for block, names in fitted.slices.items()]
     weights = exploded(vectors, F.concat(*parts), "w", [key])
-    return weights.filter(F.col("w.weight") != 0).select(key, "w.block", "w.term", "w.weight")
+    return weights.select(key, "w.block", "w.term", "w.weight")
 
 
 def combined_features(

@@ -66,6 +66,16 @@ def stage_table(
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def sized(df: DataFrame, rows_per_task: int = 2_500) -> DataFrame:
+    """A stage table with no more tasks than its rows are worth, for iterative fits.
+
+    A fit runs many short jobs over the same table; with few rows per task they
+    spend their time on scheduling. A large table is returned as it is.
+    """
+    tasks = max(1, -(-df.count() // rows_per_task))
+    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for iterative jobs whose plan grows every round."""
     context = df.sparkSession.sparkContext

@@ -34,7 +34,7 @@ from finchlab.plans.vectors import (
     vocabulary,
 )
 from finchlab.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES
-from finchlab.session import checkpoint_dir, spread, stage_table
+from finchlab.session import checkpoint_dir, sized, spread, stage_table
 from finchlab.sources.seeds import collect_by_seed
 from finchlab.sources.writers import write_table
 from finchlab.streaming.ingest import ingest_available, stream_files
@@ -767,7 +767,7 @@ def _split_features(spark, sf):
         valid = sampling.rebalance(valid, 0.1, "post_id", SEED)
         vectors, parts = combined_features(train, test, valid)
         columns = ["post_id", "target", "features"]
-        staged = [stage_table(part.select(*columns), "vectors") for part in parts]
+        staged = [sized(stage_table(part.select(*columns), "vectors")) for part in parts]
         _fitted[key] = (vectors, *staged)
     return _fitted[key]
 

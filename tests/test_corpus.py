@@ -138,6 +138,26 @@ def test_exact_sample_size(spark, n, k, seed):
         assert ids == [r["id"] for r in sample_exact(df, k, "id", seed).collect()]
 
 
+def test_trim_pushes_filters_and_prunes_columns(spark, tmp_path):
+    spark.createDataFrame(
+        [("a", "x", None, 1, 0, "English", "RightTroll", "wide")],
+        "author string, content string, publish_date timestamp_ntz, target int, retweet int, "
+        "language string, account_category string, article_url string",
+    ).write.parquet(str(tmp_path / "posts"))
+    stored = spark.read.parquet(str(tmp_path / "posts"))
+    trimmed = corpus.trim_posts(
+        corpus.labelled_category(stored), order=["publish_date", "author"]
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # show all pushed filters
+    plan = trimmed._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for pushed in ("EqualTo(retweet,0)", "EqualTo(language,English)",
+                   "EqualTo(account_category,RightTroll)", "Not(StringStartsWith(content,RT ))"):
+        assert pushed in plan
+    assert "article_url" not in plan
+    assert plan.count("Exchange") == 1
+
+
 def test_split_sizes_and_plan(spark):
     df = frame(spark, 1003)
     split = label_split(df, 0.1, 0.2, "id", 123)
