@@ -80,7 +80,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(sf).name.removeprefix("sf"),
+                "sf": float(Path(sf).name.removeprefix("sf")),
             }
         )
     )

@@ -49,7 +49,7 @@ def read_labelled(
 def read_control(
     spark: SparkSession,
     folder: str,
-    first_file: str = "twint_query_NOHASHTAG.csv",
+    first_file: str,
     multi_line: bool = True,
 ) -> DataFrame:
     """All crawler CSVs directly in `folder`; sub-folders are not read.

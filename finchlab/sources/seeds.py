@@ -138,3 +138,16 @@ def collect_by_seed(
     most = max(cap for _, cap in seeds)
     ranked = top_k_per_group(hits, ["seed"], newest, most, salt_by=[key])
     return ranked.filter(F.col("rank") <= F.col("cap")).select("seed", key, "rank")
+
+
+# picks are broadcast when the caps add up to at most this many rows
+MAX_BROADCAST_PICKS = 500_000
+
+
+def collected_posts(
+    posts: DataFrame, picks: DataFrame, seeds: list[tuple[str, int]], key: str = "post_id"
+) -> DataFrame:
+    """Whole posts of `collect_by_seed`, with seed and rank; one row per seed and post."""
+    if sum(cap for _, cap in seeds) <= MAX_BROADCAST_PICKS:
+        picks = F.broadcast(picks)
+    return posts.join(picks, key).select(*posts.columns, "seed", "rank")

@@ -1,4 +1,4 @@
-"""Registered queries with, where SQL can express them, their reference SQL.
+"""Registered queries with, where SQL can express them, their oracle SQL.
 
 Every query reads its whole tables.
 """

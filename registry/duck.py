@@ -1,4 +1,4 @@
-"""SQL fragments for the reference results on the second engine."""
+"""SQL fragments for the oracle queries."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Compare registered queries with their reference SQL.
+"""Compare registered queries with their oracle SQL.
 
     python -m tests.parity [sf_dir] [query ...]
 """

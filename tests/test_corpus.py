@@ -19,7 +19,7 @@ from finchlab.operators.sampling import (
 )
 from finchlab.plans import corpus
 from finchlab.sources import readers, writers
-from finchlab.sources.seeds import default_seeds
+from finchlab.sources.seeds import collect_by_seed, collected_posts, default_seeds
 from finchlab.streaming.ingest import ingest_available, stream_files
 
 RAW_HEADER = (
@@ -63,9 +63,9 @@ def test_control_csv_order_and_sinks(spark, tmp_path):
     (folder / "old_files").mkdir(parents=True)
     header = "id,date,time,username,tweet\n"
     (folder / "a.csv").write_text(header + "1,2016-01-01,10:00:00,ann,same\n2,2016-01-02,10:00:00,ann,x\n")
-    (folder / "twint_query_NOHASHTAG.csv").write_text(header + "3,2016-01-03,11:30:00,bob,same\n")
+    (folder / "plain.csv").write_text(header + "3,2016-01-03,11:30:00,bob,same\n")
     (folder / "old_files" / "b.csv").write_text(header + "4,2016-01-04,10:00:00,old,old\n")
-    raw = readers.read_control(spark, str(folder))
+    raw = readers.read_control(spark, str(folder), "plain.csv")
     out = corpus.control_posts(raw, order=readers.CONTROL_ORDER)
     rows = {r["content"]: r for r in out.collect()}
     assert set(rows) == {"same", "x"}
@@ -215,6 +215,18 @@ def test_parse_timestamp(spark):
     assert parsed == datetime.datetime(2017, 10, 1, 19, 58)
 
 
+def test_collected_posts_carry_their_seeds(spark):
+    posts = spark.createDataFrame(
+        [(i, f"#A{i % 2} text", datetime.datetime(2016, 1, 1 + i), "English", 0) for i in range(6)],
+        "post_id int, content string, publish_date timestamp_ntz, language string, retweet int",
+    )
+    seeds = [("#a0", 2), ("#a1", 5), ("", 1)]
+    out = collected_posts(posts, collect_by_seed(posts, seeds), seeds)
+    assert out.columns == [*posts.columns, "seed", "rank"]
+    got = sorted((r["seed"], r["rank"], r["post_id"]) for r in out.collect())
+    assert got == [("", 1, 5), ("#a0", 1, 4), ("#a0", 2, 2), ("#a1", 1, 5), ("#a1", 2, 3), ("#a1", 3, 1)]
+
+
 def test_default_seeds():
     seeds = default_seeds()
     assert len(seeds) == 74

@@ -1,4 +1,4 @@
-"""Every registered query against its reference SQL, over whole tables."""
+"""Every registered query against its oracle SQL, over whole tables."""
 
 import pytest
 
