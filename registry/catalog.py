@@ -19,7 +19,7 @@ from finchlab.operators.lemmas import LemmaLookup, lemmas_from_corpus, lemmatize
 from finchlab.operators.ranking import first_per_key
 from finchlab.plans import corpus, models, reports
 from finchlab.plans.adaboost import AdaBoost
-from finchlab.plans.features import model_columns, post_features
+from finchlab.plans.features import model_columns, post_features, with_clean_text
 from finchlab.plans.vectors import (
     BLOCKS,
     EMOJIS,
@@ -426,20 +426,20 @@ _punctuation_query("punct_counts_raw", "raw", "content")
 _punctuation_query("punct_counts_clean", "clean", duck.clean("content"))
 
 
+def _cleaned(spark, sf):
+    return with_clean_text(posts(spark, sf, heavy=True), "content", "c")
+
+
 @query(f"with {duck.POSTS} select post_id, {duck.clean('content')} as content_clean from posts")
 def clean_text(spark, sf):
-    return posts(spark, sf, heavy=True).select(
-        "post_id", X.clean(F.col("content")).alias("content_clean")
-    )
+    return _cleaned(spark, sf).select("post_id", F.col("c").alias("content_clean"))
 
 
 @query(f"with {duck.POSTS} select post_id, round({duck.pct_upper('c')}, 6) as pct_upper, "
        f"printf('%.4f', {duck.pct_upper('c')}) as shown from (select post_id, {duck.clean('content')} as c from posts)")
 def pct_upper(spark, sf):
-    cleaned = posts(spark, sf, heavy=True).select(
-        "post_id", X.pct_upper(X.clean(F.col("content"))).alias("p")
-    )
-    return cleaned.select(
+    shares = _cleaned(spark, sf).select("post_id", X.pct_upper(F.col("c")).alias("p"))
+    return shares.select(
         "post_id", F.round("p", 6).alias("pct_upper"), X.fixed_decimals(F.col("p"), 4).alias("shown")
     )
 
@@ -447,8 +447,7 @@ def pct_upper(spark, sf):
 @query(f"with {duck.POSTS} select post_id, {duck.count(duck.tokens('c'))} as word_count "
        f"from (select post_id, {duck.clean('content')} as c from posts)")
 def word_count(spark, sf):
-    cleaned = posts(spark, sf, heavy=True).select("post_id", X.clean(F.col("content")).alias("c"))
-    return cleaned.select("post_id", X.word_count(F.col("c")).alias("word_count"))
+    return _cleaned(spark, sf).select("post_id", X.word_count(F.col("c")).alias("word_count"))
 
 
 _TOKENS = (
@@ -458,8 +457,7 @@ _TOKENS = (
 
 
 def _content_tokens(spark, sf):
-    cleaned = posts(spark, sf, heavy=True).select("post_id", X.clean(F.col("content")).alias("c"))
-    return cleaned.select("post_id", X.content_tokens(F.col("c")).alias("w"))
+    return _cleaned(spark, sf).select("post_id", X.content_tokens(F.col("c")).alias("w"))
 
 
 @query(f"with {duck.POSTS}, {_TOKENS} select post_id, {duck.joined('w')} as tokens from tokens")
