@@ -29,19 +29,12 @@ def add_count(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_clean_text(df: DataFrame, column: str, new_column: str) -> DataFrame:
-    """`clean` of a column, skipping every removal whose text cannot match.
+    """`clean` of a column as a new column.
 
-    One column per step, so that a step's text is computed once although the
-    test and the removal both read it.
+    Every step reads its input once: a filter on a derived column is substituted
+    down to the scan, and steps that read it twice would double the expression.
     """
-    text = F.col(column)
-    for pattern in P.CLEANING_ORDER:
-        possible = X.may_match(text, pattern)
-        removed = X.without(text, pattern)
-        step = removed if possible is None else F.when(possible, removed).otherwise(text)
-        df = df.withColumn(new_column, step)
-        text = F.col(new_column)
-    return df.withColumn(new_column, X.remove_punctuation(text))
+    return df.withColumn(new_column, X.clean(F.col(column)))
 
 
 def post_features(

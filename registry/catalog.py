@@ -16,6 +16,7 @@ from finchlab.functions import patterns as P
 from finchlab.functions import text as X
 from finchlab.operators import filters, knn, metrics, sampling
 from finchlab.operators.lemmas import LemmaLookup, lemmas_from_corpus, lemmatize_by_join
+from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import first_per_key
 from finchlab.plans import corpus, models, reports
 from finchlab.plans.adaboost import AdaBoost
@@ -508,7 +509,7 @@ def lemma_join(spark, sf):
     "(select upper(unnest(w)) as tag from tokens) group by 1"
 )
 def wordnet_pos(spark, sf):
-    tags = _content_tokens(spark, sf).select(F.explode("w").alias("tag"))
+    tags = exploded(_content_tokens(spark, sf), F.col("w"), "tag")
     return tags.groupBy(X.wordnet_pos(F.upper("tag")).alias("pos")).agg(F.count("*").alias("words"))
 
 
