@@ -11,12 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finchlab.llm import exact_dedup, mixing
 from finchlab.llm.common import table
 from finchlab.llm.substring_dedup import trim_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = {"text_sha256": F.sha2("_norm", 256)}
+    rows = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry=digest)
+    return rows.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicated(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = trim_repeats(table(spark, sf_dir, "documents"))
     return kept.select(
@@ -25,12 +36,33 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    every = (op1_exact_dedup, op7_source_mixing, op9_substring_dedup)
+    return {f.__name__: f for f in every}
 
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
+OP1_SQL = f"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d
+"""
+
+# Rates from source sizes, Poisson probabilities by their closed form, one row per copy.
+OP7_SQL = f"""
+with s as (select source, count(*)::double as n from documents group by source),
+r as (select source, pow(n, {mixing.TEMPERATURE}) / sum(pow(n, {mixing.TEMPERATURE})) over ()
+  * sum(n) over () / n as rate from s),
+k as (select source, rate, unnest(range(0, 200)) as k from r),
+c as (select source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by source order by k) as c from k),
+u as (select *, (('0x' || substr(md5(doc_id || '#1|count|{mixing.SEED}'), 1, 13))::bigint + 0.5) / pow(2, 52) as u
+  from documents),
+n as (select u.*, (select count(*) from c where c.source is not distinct from u.source and c.c <= u.u) as copies from u),
+e as (select doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::int as copy from n)
+select *, md5(doc_id || '|' || copy || '|mix|{mixing.SEED}') as mix_key from e
+"""
+
 # Windows as texts; the first document of each window, then the words it covers elsewhere.
 OP9_SQL = f"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
@@ -48,4 +80,8 @@ select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op7_source_mixing": OP7_SQL,
+        "op9_substring_dedup": OP9_SQL,
+    }
