@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finchlab.llm.common import staged
 from finchlab.llm.words import find_words, mix, pieces, stream, word_hashes
 
 WINDOW = 50
@@ -266,7 +267,8 @@ def repeated_windows(
         .filter("least < most")
         .select("symbol", "least", (F.col("b0") < F.col("b1")).alias("mixed"))
     )
-    shared = anchors.join(symbols, "symbol")
+    # read three times below, and a small part of all picks: written once
+    shared = staged(anchors.join(symbols, "symbol"), "shared-symbols")
     settled = shared.filter("not mixed and doc > least").select("doc", "first", "windows")
     mixed = shared.filter("mixed").select("doc", "symbol", "block", "first", "windows")
     classes = mixed.groupBy("symbol", "block").agg(F.min("doc").alias("least"))
