@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finchlab.llm import exact_dedup, mixing
+from finchlab.llm import exact_dedup, mixing, near_dedup, quality
 from finchlab.llm.common import table
 from finchlab.llm.substring_dedup import trim_repeats
 
@@ -24,6 +24,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("doc").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        (F.col("doc") == F.col("component_id")).alias("kept"),
+    )
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("class_distance", 6).alias("class_distance"),
+        F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicated(table(spark, sf_dir, "documents"))
 
@@ -36,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_exact_dedup, op7_source_mixing, op9_substring_dedup)
+    every = (op1_exact_dedup, op2_minhash_near_dedup, op3_quality_rules, op7_source_mixing, op9_substring_dedup)
     return {f.__name__: f for f in every}
 
 
@@ -49,6 +74,25 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
   doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d
 """
 
+# Shingles as texts; pairs that share one; components by a recursive query.
+OP2_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as t from p),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.t = b.t and a.doc_id < b.doc_id
+  group by all),
+l as materialized (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y
+  where 100 * k >= {near_dedup.PERCENT} * (a.n + b.n - k)),
+e as materialized (select x, y from l union all select y, x from l),
+r as (select x as doc_id, x as seen from e union select r.doc_id, e.y from r join e on e.x = r.seen),
+m as (select doc_id, min(seen) as least from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least, d.doc_id) as component_id,
+  coalesce(least, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join m using (doc_id)
+"""
+
 # Rates from source sizes, Poisson probabilities by their closed form, one row per copy.
 OP7_SQL = f"""
 with s as (select source, count(*)::double as n from documents group by source),
@@ -82,6 +126,7 @@ select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op2_minhash_near_dedup": OP2_SQL,
         "op7_source_mixing": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
     }

@@ -42,11 +42,14 @@ VOCABULARY = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    # distances are judged from this many characters or words on
+    # shorter texts have no stable class histogram; up to `long_chars` only a gross distance counts
     min_chars: int = 200
-    min_histogram_words: int = 50
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.6
+    max_class_distance: float = 0.3
+    long_chars: int = 1000
+    max_long_class_distance: float = 0.17
+    # a text without any listed word is about 0.34 away
+    min_histogram_words: int = 200
+    max_word_distance: float = 0.32
     max_reference_markup_percent: float = 1.0
 
 
@@ -98,6 +101,7 @@ def repeated_lines(text: Column) -> Column:
 
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "markup", "symbol", "other")
+SPACES = CLASSES.index("space")
 MARKUP = CLASSES.index("markup")
 
 
@@ -116,31 +120,39 @@ def class_counts(text: Column) -> Column:
     return after(text, steps)
 
 
-def common_counts(w: Column, vocabulary: Sequence[str] = VOCABULARY) -> Column:
-    """Occurrences of each vocabulary word in lower case, then of all other words."""
+def common_counts(w: Column) -> Column:
+    """(word, count) of the vocabulary words that occur, in lower case as listed."""
 
-    def counts(found: Column) -> Column:
-        listed = [F.size(found) - F.size(F.array_remove(found, v)) for v in vocabulary]
-        return F.array(*listed)
+    def runs(s: Column) -> Column:
+        ends = F.filter(
+            F.transform(s, lambda x, i: F.struct(x.alias("word"), i.alias("i"))),
+            lambda r: ~r["word"].eqNullSafe(F.get(s, r["i"] + 1)),
+        )
+        return let(
+            ends,
+            lambda e: F.transform(
+                e,
+                lambda r, k: F.struct(
+                    r["word"].alias("word"), (r["i"] - F.coalesce(F.get(e, k - 1)["i"], F.lit(-1))).alias("n")
+                ),
+            ),
+        )
 
-    found = F.filter(w, lambda x: x.isin(list(vocabulary)))
-    return let(found, lambda f: F.concat(counts(f), F.array(F.size(w) - F.size(f))))
+    return let(F.sort_array(F.filter(w, lambda x: x.isin(VOCABULARY))), runs)
 
 
 def histograms(t: Column, w: Column) -> list[Column]:
-    return [class_counts(t).alias("classes"), common_counts(w).alias("common")]
-
-
-def basics(t: Column, w: Column) -> list[Column]:
     return [
         F.size(w).cast("bigint").alias("n_words"),
-        F.length(without(t, SPACE)).cast("bigint").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        repeated_lines(t).alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
+        class_counts(t).alias("classes"),
+        common_counts(w).alias("common"),
     ]
 
 
+def repeats(t: Column, w: Column) -> list[Column]:
+    return [repeated_lines(t).alias("n_dup_lines"), repeated_words(w).alias("n_repeat_words")]
+
+
 def _described(text_col: str, *parts: Callable[[Column, Column], list[Column]]) -> Column:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return let(text, lambda t: let(words(t), lambda w: F.struct(*[c for part in parts for c in part(t, w)])))
@@ -150,57 +162,104 @@ def total_of(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda a, c: a + c)
 
 
+@dataclass(frozen=True)
+class Reference:
+    """Shares of a language: character classes, and vocabulary words (the rest is all other words)."""
+
+    classes: Sequence[float]
+    words: Sequence[float]
+
+
 def references(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = RULES
-) -> dict[str, tuple[list[float], list[float]]]:
-    """Per listed language the class and word shares of its texts; at most one row per word list.
+) -> dict[str, Reference]:
+    """The reference of each language that has a word list, over all its texts.
 
     Texts with much markup would blur what is normal and are left out of the sums.
+    What reaches the driver is one row per list, and one per list and listed word.
     """
     known = docs.filter(F.col(lang_col).isin(sorted(COMMON_WORDS)))
-    known = known.select(lang_col, _described(text_col, histograms).alias("_q"))
-    plain = 100 * F.col("_q.classes")[MARKUP] <= rules.max_reference_markup_percent * total_of(F.col("_q.classes"))
-    sums = [
-        F.sum(F.col(f"_q.{name}")[i].cast("bigint")).alias(f"{name}{i}")
-        for name, size in (("classes", len(CLASSES)), ("common", len(VOCABULARY) + 1))
-        for i in range(size)
-    ]
+    known = known.select(F.col(lang_col).alias("lang"), _described(text_col, histograms).alias("_q"))
+    classes = F.col("_q.classes")
+    plain = known.filter(100 * classes[MARKUP] <= rules.max_reference_markup_percent * total_of(classes))
+    # one row per class and per word that occurs, summed in each task first
+    bins = F.concat(
+        F.transform(classes, lambda c, i: F.struct(F.concat(F.lit("#"), i).alias("bin"), c.cast("bigint").alias("n"))),
+        F.transform("_q.common", lambda r: F.struct(r["word"].alias("bin"), r["n"].cast("bigint").alias("n"))),
+        F.array(F.struct(F.lit("#words").alias("bin"), F.col("_q.n_words").alias("n"))),
+    )
+    sums = plain.select("lang", F.inline(bins)).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    found: dict[str, dict[str, int]] = {}
+    for lang, name, n in sums.collect():
+        found.setdefault(lang, {})[name] = n
     out = {}
-    for row in known.filter(plain).groupBy(lang_col).agg(*sums).collect():
-        values = list(row)[1:]
-        parts = values[: len(CLASSES)], values[len(CLASSES) :]
-        if all(sum(p) for p in parts):
-            out[row[0]] = tuple([v / sum(p) for v in p] for p in parts)
-    return dict(sorted(out.items()))
+    for lang, n in sorted(found.items()):
+        counts = [n.get(f"#{i}", 0) for i in range(len(CLASSES))]
+        if sum(counts) and n.get("#words"):
+            shares = [n.get(w, 0) / n["#words"] for w in VOCABULARY]
+            out[lang] = Reference([c / sum(counts) for c in counts], shares)
+    return out
 
 
-def _entropy(x: Column) -> Column:
+def _plogp(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
 
 
-def nearest(counts: Column, refs: Sequence[Sequence[float]]) -> Column:
-    """Smallest Jensen-Shannon distance of a histogram of counts to references of shares.
+def _entropy(shares: Sequence[float]) -> float:
+    return sum(v * math.log2(v) for v in shares if v > 0)
 
-    The divergence of p and q is sum(p log p)/2 + sum(q log q)/2 - sum(m log m), m = (p + q)/2.
-    """
 
-    def summed(terms: Column) -> Column:
-        return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+def _summed(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+
+
+# The divergence of p and q is sum(p log p)/2 + sum(q log q)/2 - sum(m log m), m = (p + q)/2.
+
+
+def _smallest(every: Sequence[Column]) -> Column:
+    return F.sqrt(F.greatest(F.array_min(F.array(*every)), F.lit(0.0)))
+
+
+def class_distance(classes: Column, refs: Sequence[Reference]) -> Column:
+    """Jensen-Shannon distance of the class counts to the nearest reference."""
 
     def of(p: Column) -> Column:
-        own = summed(F.transform(p, _entropy)) / 2
+        own = _summed(F.transform(p, _plogp)) / 2
         every = []
-        for q in refs:
-            fixed = sum(v * math.log2(v) for v in q if v > 0) / 2
+        for q in (r.classes for r in refs):
             halves = F.zip_with(p, F.lit([v / 2 for v in q]), lambda a, b: a / 2 + b)
-            every.append(own + fixed - summed(F.transform(halves, _entropy)))
-        return F.sqrt(F.greatest(F.array_min(F.array(*every)), F.lit(0.0)))
+            every.append(own + _entropy(q) / 2 - _summed(F.transform(halves, _plogp)))
+        return _smallest(every)
 
-    shares = let(total_of(counts), lambda n: F.transform(counts, lambda c: c / n))
-    return let(shares, of)
+    return let(let(total_of(classes), lambda n: F.transform(classes, lambda c: c / n)), of)
 
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def word_distance(common: Column, n_words: Column, refs: Sequence[Reference]) -> Column:
+    """The same for words. Only words that occur are visited; the others add a known amount."""
+
+    def moved(half: Column) -> Callable[[Column], Column]:
+        return lambda r: _plogp(r["p"] / 2 + F.get(half, r["at"])) - _plogp(F.get(half, r["at"]))
+
+    def of(runs: Column) -> Column:
+        rest = 1.0 - _summed(F.transform(runs, lambda r: r["p"]))
+        own = (_summed(F.transform(runs, lambda r: _plogp(r["p"]))) + _plogp(rest)) / 2
+        every = []
+        for q in (r.words for r in refs):
+            other = 1.0 - sum(q)
+            absent = sum(v / 2 * math.log2(v / 2) for v in q if v > 0)
+            change = F.transform(runs, moved(F.lit([v / 2 for v in q])))
+            mixed = absent + _summed(change) + _plogp(rest / 2 + other / 2)
+            every.append(own + (_entropy(q) + _entropy([other])) / 2 - mixed)
+        return _smallest(every)
+
+    at = F.lit(VOCABULARY)
+    runs = F.transform(
+        common,
+        lambda r: F.struct(
+            (r["n"] / n_words).alias("p"), (F.array_position(at, r["word"]) - 1).cast("int").alias("at")
+        ),
+    )
+    return let(runs, of)
 
 
 def judged(
@@ -208,30 +267,33 @@ def judged(
     text_col: str = "text",
     lang_col: str = "lang",
     rules: Rules = RULES,
-    refs: dict[str, tuple[list[float], list[float]]] | None = None,
+    refs: dict[str, Reference] | None = None,
 ) -> DataFrame:
     """The columns of `docs` (but for names given anew), the counts, both distances, `base_failed`, `kept`."""
     if refs is None:
         refs = references(docs, text_col, lang_col, rules)
     q = F.col("_q")
-
-    def distance(name: str, k: int, long_enough: Column) -> Column:
-        if not refs:
-            return F.lit(0.0)
-        return F.when(long_enough, nearest(q[name], [r[k] for r in refs.values()])).otherwise(0.0)
-
+    known = list(refs.values())
+    by_class = class_distance(q["classes"], known) if known else F.lit(0.0)
+    by_word = word_distance(q["common"], q["n_words"], known) if known else F.lit(0.0)
+    chars = total_of(q["classes"])
     base = (q["n_words"] < rules.min_words) | (
         100 * q["n_repeat_words"] > rules.max_repeat_percent * q["n_words"]
     )
-    new = (*NAMES, "class_distance", "word_distance", "base_failed", "kept")
-    rows = docs.withColumn("_q", _described(text_col, basics, histograms)).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in new],
-        *[q[n].alias(n) for n in NAMES],
-        distance("classes", 0, total_of(q["classes"]) >= rules.min_chars).alias("class_distance"),
-        distance("common", 1, q["n_words"] >= rules.min_histogram_words).alias("word_distance"),
-        base.alias("base_failed"),
-    )
-    fine = (F.col("class_distance") <= rules.max_class_distance) & (
-        F.col("word_distance") <= rules.max_word_distance
+    counts = {
+        "n_words": q["n_words"],
+        "word_chars": (chars - q["classes"][SPACES]).cast("bigint"),
+        "n_symbols": q["classes"][MARKUP].cast("bigint"),
+        "n_dup_lines": q["n_dup_lines"],
+        "n_repeat_words": q["n_repeat_words"],
+        "class_distance": F.when(chars >= rules.min_chars, by_class).otherwise(0.0),
+        "_far": F.when(chars >= rules.long_chars, rules.max_long_class_distance).otherwise(rules.max_class_distance),
+        "word_distance": F.when(q["n_words"] >= rules.min_histogram_words, by_word).otherwise(0.0),
+        "base_failed": base,
+    }
+    rows = docs.withColumn("_q", _described(text_col, histograms, repeats)).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in (*counts, "kept")],
+        *[value.alias(name) for name, value in counts.items()],
     )
-    return rows.withColumn("kept", ~F.col("base_failed") & fine)
+    fine = (F.col("class_distance") <= F.col("_far")) & (F.col("word_distance") <= rules.max_word_distance)
+    return rows.withColumn("kept", ~F.col("base_failed") & fine).drop("_far")
