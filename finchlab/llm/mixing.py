@@ -47,11 +47,9 @@ def rates(
         for name, value in weights.items():
             weight = F.when(F.col("_source") == F.lit(name), F.lit(float(value))).otherwise(weight)
     sizes = sizes.withColumn("_weight", weight)
-    total = sizes.agg(F.sum("_size").alias("_rows"), F.sum("_weight").alias("_all"))
-    # one row of totals
-    return sizes.join(F.broadcast(total)).select(
-        "_source", "_size", (F.col("_weight") / F.col("_all") * F.col("_rows") / F.col("_size")).alias("_rate")
-    )
+    total = sizes.agg(F.sum("_size").alias("rows"), F.sum("_weight").alias("all")).first()
+    scale = (total["rows"] or 0) / (total["all"] or 1.0)
+    return sizes.select("_source", "_size", (F.col("_weight") * F.lit(scale) / F.col("_size")).alias("_rate"))
 
 
 # exp(-rate) must be a normal double; larger means are a sum of equal parts
