@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finchlab.llm import exact_dedup, mixing, near_dedup, quality
+from finchlab.llm import exact_dedup, mixing, near_dedup, packing, quality, token_files
 from finchlab.llm.common import table
 from finchlab.llm.substring_dedup import trim_repeats
 
@@ -49,6 +50,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicated(table(spark, sf_dir, "documents"))
 
@@ -60,8 +66,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_exact_dedup, op2_minhash_near_dedup, op3_quality_rules, op7_source_mixing, op9_substring_dedup)
+    every = (
+        op1_exact_dedup,
+        op2_minhash_near_dedup,
+        op3_quality_rules,
+        op4_token_files,
+        op7_source_mixing,
+        op9_substring_dedup,
+        op10_packing,
+    )
     return {f.__name__: f for f in every}
 
 
