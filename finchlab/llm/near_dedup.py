@@ -9,11 +9,12 @@ A document is its set of distinct word shingles, as 64-bit hashes.
   rank r no later rank can matter: long documents stop after the first.
 * **Equal sets** are folded into one document first, so thousands of copies are one.
 * **Bands** of `rows` slots give candidate buckets. A bucket of up to `crowd`
-  documents lists its pairs. A larger one compares all its members with its first
-  only, and its members are marked as crowded.
+  documents lists its pairs. A larger one compares all its members with one of them,
+  the one with the largest buckets in all, and its members are marked as crowded.
 * **Crowded documents** are completed exactly: any pair with similarity t shares a
   shingle among the `(1 - t) |set| + 1` that come first in one global order, rare
-  first. Documents that already hang together need no further pair, so only such
+  first, and no more shingles can be common than follow the first common one in either
+  set. Documents that already hang together need no further pair, so only such
   shingles are used whose documents lie in different components.
 * **Verification** counts the common shingles of full sets. Links are joined into
   components by union-find inside tasks, then rounds of smallest-neighbour hooking.
@@ -180,7 +181,7 @@ def _verified(percent: int):
     return run
 
 
-PREFIX = "shingle bigint, doc bigint, n bigint, component bigint"
+PREFIX = "shingle bigint, doc bigint, n bigint, component bigint, at bigint"
 
 
 def _prefixes(percent: int, counters: np.ndarray):
@@ -188,7 +189,7 @@ def _prefixes(percent: int, counters: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen, owner = [], []
+            chosen, owner, place = [], [], []
             for i in range(batch.num_rows):
                 s = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
                 # at least ceil(t n) shingles are common to any partner
@@ -197,6 +198,7 @@ def _prefixes(percent: int, counters: np.ndarray):
                 rank = np.lexsort((s, counters[(s >> np.uint64(44)).astype(np.int64)]))[:k]
                 chosen.append(s[rank])
                 owner.append(np.full(k, i))
+                place.append(np.arange(k))
             if not chosen:
                 continue
             rows = pa.array(np.concatenate(owner))
@@ -206,13 +208,17 @@ def _prefixes(percent: int, counters: np.ndarray):
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     batch.column(2).take(rows),
+                    pa.array(np.concatenate(place)),
                 ],
-                names=["shingle", "doc", "n", "component"],
+                names=["shingle", "doc", "n", "component", "at"],
             )
 
     return run
 
 
+PREFIX_COLUMNS = ("doc", "n", "component", "at")
+
+
 COUNTS = "slot int, n bigint"
 
 
@@ -264,7 +270,7 @@ def near_groups(
 
     # buckets
     banded = leads.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("head")).filter("m > 1")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     placed = staged(banded.join(buckets, "key"), "buckets")
     listed = (
         placed.filter(F.col("m") <= crowd)
@@ -275,9 +281,17 @@ def near_groups(
         .select(F.col("u.doc").alias("x"), F.col("v.doc").alias("y"), F.col("u.n").alias("n"), F.col("v.n").alias("k"))
     )
     crowded = placed.filter(F.col("m") > crowd)
-    heads = crowded.filter("doc = head").select("key", F.col("n").alias("k"))
-    starred = crowded.filter("doc > head").join(heads, "key").select(F.col("head").alias("x"), F.col("doc").alias("y"), "n", "k")
-    pairs = listed.unionByName(starred).filter(_fitting("n", "k", percent)).select("x", "y").distinct()
+    # copies agree with their common source more than with one another: the source sits in the
+    # largest buckets, so the member with the largest buckets in all is the one to compare with
+    weight = crowded.groupBy("doc").agg(F.sum("m").alias("weight"))
+    crowded = staged(crowded.join(weight, "doc").select("key", "doc", "n", "weight"), "crowded")
+    order = F.struct("weight", (-F.col("doc")).alias("minus"), "n")
+    heads = crowded.groupBy("key").agg(F.max(order).alias("h"))
+    heads = heads.select("key", (-F.col("h.minus")).alias("head"), F.col("h.n").alias("k"))
+    starred = crowded.join(heads, "key").select(
+        F.least("head", "doc").alias("x"), F.greatest("head", "doc").alias("y"), "n", "k"
+    )
+    pairs = listed.unionByName(starred).filter("x < y").filter(_fitting("n", "k", percent)).select("x", "y").distinct()
     pairs = staged(pairs, "pairs")
 
     # sets of the documents that need one, made once from their texts
@@ -308,7 +322,10 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, component: DataFrame, pe
     prefixes = staged(own.mapInArrow(_prefixes(percent, counters), PREFIX), "prefixes")
     open_ = prefixes.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     members = prefixes.join(open_.filter("c0 < c1").select("shingle"), "shingle")
-    x = members.select("shingle", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = members.select("shingle", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    pairs = x.join(y, "shingle").filter("xc < yc").filter(_fitting("xn", "yn", percent)).select("x", "y").distinct()
+    x, y = (members.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in PREFIX_COLUMNS]) for side in "xy")
+    # no more than what follows the first common shingle can be common
+    most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = (100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_component") < F.col("y_component")) & enough)
+    pairs = pairs.select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
     return staged(verified_links(staged(pairs, "crowded-pairs"), sets, percent), "crowded-links")
