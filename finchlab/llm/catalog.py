@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finchlab.llm import exact_dedup, mixing, near_dedup, packing, quality, token_files
+from finchlab.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, token_files, toxicity
 from finchlab.llm.common import table
 from finchlab.llm.substring_dedup import trim_repeats
 
@@ -55,10 +55,30 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder).withColumnRenamed("doc", "doc_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~out))
+    return language_id.predict(docs, model).select(
+        F.col("doc").alias("doc_id"), language_id.held_out(F.col("doc")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicated(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.scored(docs, lexicon).select(
+        F.col("doc").alias("doc_id"),
+        toxicity.held_out(F.col("doc")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = trim_repeats(table(spark, sf_dir, "documents"))
     return kept.select(
@@ -77,7 +97,9 @@ def queries() -> dict[str, Query]:
         op2_minhash_near_dedup,
         op3_quality_rules,
         op4_token_files,
+        op6_language_id,
         op7_source_mixing,
+        op8_toxicity,
         op9_substring_dedup,
         op10_packing,
     )
