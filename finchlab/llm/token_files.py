@@ -34,7 +34,7 @@ from finchlab.llm.words import pieces
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 PAIRS = 1024
 LEAST = 12
 _SLOTS = 18
@@ -175,7 +175,7 @@ def _encoded(path: str, end_id: int, shard_tokens: int, rounds: int):
             return pa.record_batch(row, names=[f.split()[0] for f in SHARDS.split(", ")])
 
         for batch in batches:
-            for some in pieces(batch, "text", 1 << 21):
+            for some in pieces(batch, "text", 4 << 20):
                 ids, marks = encoder(path).encode(some.column(1))
                 # the end id behind each document
                 size = np.diff(marks) + 1

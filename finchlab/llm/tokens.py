@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-# bounds the memory of remembered parts; they are recomputed when it is reached
-REMEMBERED = 400_000
+# bounds the memory of remembered parts, per generation
+REMEMBERED = 150_000
 _PLAIN = re.compile(r"[\n\r\t\x20-\x7e¡-ɏ]*")
 _WORD_AND_MARK = ".,;:!?"
 
@@ -47,9 +48,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = tuple(t["content"] for t in spec.get("added_tokens", []))
-        self.marks = {t[0] for t in self.special}
         self.keep_space, self.pattern, self.lower = self._kind(spec)
+        # two generations: what is still in use moves to the younger one
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _kind(spec: dict) -> tuple[bool, regex.Pattern | None, bool]:
@@ -69,15 +71,18 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
+        if got is not None:
+            return got
+        got = self.older.get(part)
         if got is None:
             if part.isascii() and part.isprintable():
                 letters = part.replace(" ", _ASCII_SPACE)
             else:
                 letters = part.encode().decode("latin-1").translate(_LETTERS)
-            got = np.array([t.id for t in self.model.tokenize(letters)], dtype=np.uint32).tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[part] = got
+            got = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.parts) >= REMEMBERED:
+            self.older, self.parts = self.parts, {}
+        self.parts[part] = got
         return got
 
     def _whole(self, text: str) -> bytes:
@@ -86,7 +91,7 @@ class Encoder:
 
     def _piece(self, word: str, space: str) -> bytes:
         """Ids of a piece: the word, after a space where the tokenizer keeps it."""
-        if not _PLAIN.fullmatch(word):
+        if not (word.isascii() and word.isprintable()) and not _PLAIN.fullmatch(word):
             return self._whole(space + word)
         if self.lower:
             word = word.lower()
@@ -97,11 +102,20 @@ class Encoder:
             return self._part(space + head) + self._part(word[-1])
         return b"".join(map(self._part, self.pattern.findall(space + word)))
 
-    def _unsafe(self, word: str) -> bool:
-        """A text with such a piece is encoded whole."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return self.keep_space
-        return any(m in word for m in self.marks) and any(t in word for t in self.special)
+    def _unsafe(self, words: pa.Array) -> np.ndarray:
+        """Pieces whose text is encoded whole: beside white space, or the name of a special token."""
+        bad = np.zeros(len(words), dtype=bool)
+        if self.keep_space:
+            edge = pc.or_(pc.match_substring_regex(words, r"^$|^[\s\x1c-\x1f]|[\s\x1c-\x1f]$"), self._wide_edge(words))
+            bad |= edge.to_numpy(zero_copy_only=False)
+        for name in self.special:
+            bad |= pc.match_substring(words, name).to_numpy(zero_copy_only=False)
+        return bad
+
+    @staticmethod
+    def _wide_edge(words: pa.Array) -> pa.Array:
+        """White space outside ASCII at either end."""
+        return pc.not_equal(pc.utf8_length(pc.utf8_trim_whitespace(words)), pc.utf8_length(words))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and n + 1 offsets; null counts as empty."""
@@ -113,23 +127,23 @@ class Encoder:
         marks = units.offsets.to_numpy()
         marks = marks - marks[0]
         coded = units.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         if not n or not len(index):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         space = " " if self.keep_space else ""
         # where spaces are kept, the first piece of a text has none
         first = marks[:-1]
-        unsafe = np.fromiter(map(self._unsafe, words), dtype=bool, count=len(words))
+        unsafe = self._unsafe(coded.dictionary)
         owner = np.repeat(np.arange(n), np.diff(marks))
         whole = np.zeros(n, dtype=bool)
         whole[owner[unsafe[index]]] = True
-        pool = [b"" if bad else self._piece(w, space) for w, bad in zip(words, unsafe, strict=True)]
+        piece = self._piece
+        pool = [b"" if bad else piece(w, space) for w, bad in zip(words, unsafe.tolist(), strict=True)]
         if self.keep_space:
             heads = pc.unique(pa.array(index[first])).to_numpy()
             at = np.zeros(len(words), dtype=np.int64)
             at[heads] = len(pool) + np.arange(len(heads))
             pool += [b"" if unsafe[h] else self._piece(words[h], "") for h in heads]
-            index = index.astype(np.int64)
             index[first] = at[index[first]]
         index = np.where(whole[owner], len(pool), index)
         pool.append(b"")
@@ -139,8 +153,10 @@ class Encoder:
         flat, ends = _joined(pool)
         size = np.diff(ends)[index]
         total = np.concatenate(([0], np.cumsum(size)))
-        inner = np.arange(total[-1]) - np.repeat(total[:-1], size)
-        return flat[np.repeat(ends[:-1][index], size) + inner], total[marks]
+        # where each id comes from: its piece's place in the pool, shifted to its own
+        source = np.repeat(ends[:-1][index] - total[:-1], size)
+        source += np.arange(total[-1])
+        return flat[source], total[marks]
 
 
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
