@@ -12,7 +12,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finchlab.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, token_files, toxicity
+from finchlab.llm import (
+    exact_dedup,
+    language_id,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    token_files,
+    toxicity,
+)
 from finchlab.llm.common import table
 from finchlab.llm.substring_dedup import trim_repeats
 
@@ -55,6 +65,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder).withColumnRenamed("doc", "doc_id")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        F.round("log_score", 3).alias("log_score"),
+        F.round("mean_log_score", 5).alias("mean_log_score"),
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out(F.col("doc_id"))
@@ -97,6 +116,7 @@ def queries() -> dict[str, Query]:
         op2_minhash_near_dedup,
         op3_quality_rules,
         op4_token_files,
+        op5_lm_scoring,
         op6_language_id,
         op7_source_mixing,
         op8_toxicity,
@@ -134,6 +154,29 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least, d.doc_i
 from d left join n using (doc_id) left join m using (doc_id)
 """
 
+# One row per word and per pair; counts over all rows less those of the row's own document.
+OP5_SQL = f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') as w from documents),
+p as (select doc_id, w[i] as b, case when i > 1 then w[i - 1] end as a, len(w) as n
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+u as materialized (select b as g, count(*) as c from p group by b),
+uo as materialized (select doc_id, b as g, count(*) as c from p group by doc_id, b),
+v as materialized (select a, b, count(*) as c from p where a is not null group by a, b),
+vo as materialized (select doc_id, a, b, count(*) as c from p where a is not null group by doc_id, a, b),
+t as (select count(*) as words from p),
+s as (select p.doc_id, n, p.a, words, u.c - uo.c as one, coalesce(v.c - vo.c, 0) as two, x.c - xo.c as context
+  from p cross join t join u on u.g = p.b join uo on uo.doc_id = p.doc_id and uo.g = p.b
+  left join v on v.a = p.a and v.b = p.b left join vo on vo.doc_id = p.doc_id and vo.a = p.a and vo.b = p.b
+  left join u x on x.g = p.a left join uo xo on xo.doc_id = p.doc_id and xo.g = p.a),
+l as (select doc_id, sum(case when two > 0 then ln(two / context)
+  else case when a is not null then ln({lm_scoring.BACKOFF}) else 0 end
+    + case when one > 0 then ln(one / (words - n)) else ln({lm_scoring.BACKOFF} / words) end end) as score
+  from s group by doc_id)
+select doc_id, len(w)::bigint as n_words, round(coalesce(score, 0), 3) as log_score,
+  round(score / len(w), 5) as mean_log_score from d left join l using (doc_id)
+"""
+
 # Rates from source sizes, Poisson probabilities by their closed form, one row per copy.
 OP7_SQL = f"""
 with s as (select source, count(*)::double as n from documents group by source),
@@ -168,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op2_minhash_near_dedup": OP2_SQL,
+        "op5_lm_scoring": OP5_SQL,
         "op7_source_mixing": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
     }
