@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("doc", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_exact_dedup,
@@ -122,6 +127,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_substring_dedup,
         op10_packing,
+        pipeline,
     )
     return {f.__name__: f for f in every}
 

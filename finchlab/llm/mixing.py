@@ -10,7 +10,8 @@ a hash of id and copy number: a global shuffle that needs no sampling pass.
 Defined results: a null source is a source of its own; a null id is hashed as the
 word "null"; rows that repeat an id get the same count each; a weight of zero or a
 source missing from given weights drops the source; an empty table gives an empty
-table. Extra columns are kept. Without given weights the target of a source is
+table. Extra columns are kept, but for `copy` and
+`mix_key`, which are given anew. Without given weights the target of a source is
 proportional to its size to the power `temperature` (1: as it is; 0: all alike).
 """
 
@@ -82,7 +83,7 @@ def replicated(
     plan = plan.select("_source", "_parts", _thresholds(F.col("_rate") / F.col("_parts")).alias("_cdf"))
     # one row per source, written first: its size is then known and decides how it is joined
     plan = staged(plan, "rates")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]
     joined = docs.select(*names, F.col(source_col).alias("_s")).join(plan, F.col("_s").eqNullSafe(F.col("_source")))
 
     def drawn(total: Column, part: Column) -> Column:

@@ -309,6 +309,14 @@ def near_groups(
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: those that are the smallest of their group."""
+    groups = near_groups(docs, id_col, text_col)
+    # only the ids that go are joined; a null id links with nothing and stays
+    gone = staged(groups.filter("doc <> component_id").select("doc").distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["doc"], "left_anti")
+
+
 def _crowded_links(crowded: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Links between crowded documents of different components, by rare-first prefixes."""
     spark = sets.sparkSession
