@@ -267,11 +267,13 @@ def repeated_windows(
         .filter("least < most")
         .select("symbol", "least", (F.col("b0") < F.col("b1")).alias("mixed"))
     )
+    # written first, the join has an exchange on both sides and a frequent symbol can be split
+    symbols = staged(symbols, "symbols")
     # read three times below, and a small part of all picks: written once
     shared = staged(anchors.join(symbols, "symbol"), "shared-symbols")
     settled = shared.filter("not mixed and doc > least").select("doc", "first", "windows")
     mixed = shared.filter("mixed").select("doc", "symbol", "block", "first", "windows")
-    classes = mixed.groupBy("symbol", "block").agg(F.min("doc").alias("least"))
+    classes = staged(mixed.groupBy("symbol", "block").agg(F.min("doc").alias("least")), "classes")
     placed = mixed.join(classes, ["symbol", "block"])
     copied = placed.filter("doc > least").select("doc", "first", "windows")
     listed = (
