@@ -21,6 +21,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finchlab.llm.common import staged
+
 SPACE = r"[\x20\x09-\x0D]+"
 PREFIX = 64
 SLOTS = 1 << 18
@@ -81,6 +83,8 @@ def exact_groups(
         .agg(F.min(order).alias("_first"), F.count("*").alias("_size"))
         .filter("_size > 1")
     )
+    # written first, the join has an exchange on both sides and a group of many copies can be split
+    groups = staged(groups, "copy-groups")
     return hashed.join(groups, "_key", "left").select(
         "doc",
         F.when(F.col("_first").isNull(), F.col("doc")).otherwise(F.col("_first.doc")).alias("keep_id"),
