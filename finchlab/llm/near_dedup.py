@@ -263,7 +263,7 @@ def near_groups(
     # equal sets are one document: the smallest id stands for them
     filled = signed.filter("n_shingles > 0 and doc is not null")
     folds = filled.groupBy("n_shingles", "a", "b").agg(F.min("doc").alias("lead"), F.max("doc").alias("most"))
-    folds = folds.filter("lead < most").drop("most")
+    folds = staged(folds.filter("lead < most").drop("most"), "folds")
     members = filled.join(folds, ["n_shingles", "a", "b"]).select("doc", "lead", F.col("n_shingles").alias("n"))
     members = staged(members, "copies")
     leads = filled.join(members.filter("doc > lead").select("doc").distinct(), "doc", "left_anti")
