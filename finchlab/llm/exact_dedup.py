@@ -41,7 +41,7 @@ def exact_groups(
     prefix: int = PREFIX,
     slots: int = SLOTS,
 ) -> DataFrame:
-    """One row per input row: doc, keep_id, group_size, kept, and the `carry` columns.
+    """One row per input row: doc, keep_id, group_size, kept, `_ties` and `_key` for ties, and the `carry` columns.
 
     `carry` maps names to expressions over the columns of `docs` and `_norm`, the
     normalised text.
@@ -70,17 +70,18 @@ def exact_groups(
     full = F.when(F.col("_alive"), F.sha2("_norm", 256))
     hashed = marked.select(
         "doc",
-        F.monotonically_increasing_id().alias("_row"),
         # rows without a full hash are alone; their own key spreads them
         F.coalesce(full, F.concat_ws("-", F.lit(""), "doc", "_prefix")).alias("_key"),
         F.coalesce("_alive", F.lit(False)).alias("_alive"),
         *carry,
     )
-    order = F.struct(F.col("doc").isNull().alias("last"), "doc", "_row")
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "_n"))
     groups = (
         hashed.filter("_alive")
+        .groupBy("_key", "doc")
+        .agg(F.count("*").alias("_n"))
         .groupBy("_key")
-        .agg(F.min(order).alias("_first"), F.count("*").alias("_size"))
+        .agg(first.alias("_first"), F.sum("_n").alias("_size"))
         .filter("_size > 1")
     )
     # written first, the join has an exchange on both sides and a group of many copies can be split
@@ -89,7 +90,9 @@ def exact_groups(
         "doc",
         F.when(F.col("_first").isNull(), F.col("doc")).otherwise(F.col("_first.doc")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.coalesce(F.col("_first._row") == F.col("_row"), F.lit(True)).alias("kept"),
+        (F.col("_first").isNull() | F.col("doc").eqNullSafe(F.col("_first.doc"))).alias("kept"),
+        F.coalesce("_first._n", F.lit(1)).alias("_ties"),
+        "_key",
         *carry,
     )
 
@@ -97,5 +100,7 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     names = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    kept = exact_groups(docs, id_col, text_col, carry=names).filter("kept")
+    kept = exact_groups(docs, id_col, text_col, carry=names).filter("kept").select("_ties", "_key", *names)
+    tied = kept.filter("_ties > 1").dropDuplicates(["_key"])
+    kept = kept.filter("_ties = 1").unionByName(tied)
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
