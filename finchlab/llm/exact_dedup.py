@@ -10,8 +10,8 @@ costs one more hash and changes nothing. Texts themselves are never shuffled.
 
 Defined results: null counts as empty, and all empty texts are one group; of equal
 texts the row with the smallest id stays; null ids sort last; rows that repeat an
-id are counted in the group, and only one row stays per group. Extra columns are
-ignored unless named in `carry`.
+id and a text count in `group_size` one by one and all carry `kept`, but
+`drop_copies` leaves one of them. Extra columns are ignored unless named in `carry`.
 """
 
 from __future__ import annotations
@@ -33,20 +33,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def exact_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    carry: Mapping[str, Column] | None = None,
-    prefix: int = PREFIX,
-    slots: int = SLOTS,
-) -> DataFrame:
-    """One row per input row: doc, keep_id, group_size, kept, `_ties` and `_key` for ties, and the `carry` columns.
-
-    `carry` maps names to expressions over the columns of `docs` and `_norm`, the
-    normalised text.
-    """
-    carry = dict(carry or {})
+def _refined(
+    docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, Column], prefix: int, slots: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their keys, and the groups of two and more."""
     base = docs.withColumn("_norm", normalised(F.col(text_col)))
     short = F.substring("_norm", 1, prefix)
     sized = base.select(
@@ -85,22 +75,50 @@ def exact_groups(
         .filter("_size > 1")
     )
     # written first, the join has an exchange on both sides and a group of many copies can be split
-    groups = staged(groups, "copy-groups")
+    return hashed, staged(groups, "copy-groups")
+
+
+def _labelled(hashed: DataFrame, groups: DataFrame, carry: Mapping[str, Column]) -> DataFrame:
+    alone = F.col("_first").isNull()
     return hashed.join(groups, "_key", "left").select(
         "doc",
-        F.when(F.col("_first").isNull(), F.col("doc")).otherwise(F.col("_first.doc")).alias("keep_id"),
+        F.when(alone, F.col("doc")).otherwise(F.col("_first.doc")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (F.col("_first").isNull() | F.col("doc").eqNullSafe(F.col("_first.doc"))).alias("kept"),
+        (alone | F.col("doc").eqNullSafe(F.col("_first.doc"))).alias("kept"),
         F.coalesce("_first._n", F.lit(1)).alias("_ties"),
         "_key",
         *carry,
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Mapping[str, Column] | None = None,
+    prefix: int = PREFIX,
+    slots: int = SLOTS,
+) -> DataFrame:
+    """One row per input row: doc, keep_id, group_size, kept, and the `carry` columns.
+
+    `carry` maps names to expressions over the columns of `docs` and `_norm`, the
+    normalised text.
+    """
+    carry = dict(carry or {})
+    return _labelled(*_refined(docs, id_col, text_col, carry, prefix, slots), carry).drop("_ties", "_key")
+
+
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, slots: int = SLOTS
+) -> DataFrame:
     """The rows that stay, with all their columns."""
-    names = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    kept = exact_groups(docs, id_col, text_col, carry=names).filter("kept").select("_ties", "_key", *names)
-    tied = kept.filter("_ties > 1").dropDuplicates(["_key"])
-    kept = kept.filter("_ties = 1").unionByName(tied)
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row)
+    carry = {"_row": F.col("_row")}
+    hashed, groups = _refined(whole, "_id", "_text", carry, prefix, slots)
+    rows = _labelled(hashed, groups, carry).filter("kept")
+    if groups.filter("_first._n > 1").isEmpty():
+        return rows.select("_row.*")
+    # rows that repeat both id and text
+    tied = rows.filter("_ties > 1").dropDuplicates(["_key"])
+    return rows.filter("_ties = 1").unionByName(tied).select("_row.*")
