@@ -76,7 +76,9 @@ class Grams:
         self.part = part_of(self.distinct, parts)
 
     def blocks(self) -> Iterator[tuple[int, slice]]:
-        first = np.flatnonzero(np.concatenate(([True], self.part[1:] != self.part[:-1]))) if len(self.part) else []
+        if not len(self.part):
+            return
+        first = np.flatnonzero(np.concatenate(([True], self.part[1:] != self.part[:-1])))
         for s, e in zip(first, [*first[1:], len(self.part)], strict=True):
             yield int(self.part[s]), slice(int(s), int(e))
 
