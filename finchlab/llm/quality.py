@@ -179,7 +179,8 @@ def references(
     What reaches the driver is one row per list, and one per list and listed word.
     """
     known = docs.filter(F.col(lang_col).isin(sorted(COMMON_WORDS)))
-    known = known.select(F.col(lang_col).alias("lang"), _described(text_col, histograms).alias("_q"))
+    described = F.explode_outer(F.array(_described(text_col, histograms))).alias("_q")
+    known = known.select(F.col(lang_col).alias("lang"), described)
     classes = F.col("_q.classes")
     plain = known.filter(100 * classes[MARKUP] <= rules.max_reference_markup_percent * total_of(classes))
     # one row per class and per word that occurs, summed in each task first
@@ -291,7 +292,9 @@ def judged(
         "word_distance": F.when(q["n_words"] >= rules.min_histogram_words, by_word).otherwise(0.0),
         "base_failed": base,
     }
-    rows = docs.withColumn("_q", _described(text_col, histograms, repeats)).select(
+    # as the one row of a generator: a filter on the result is then not computed below it, text by text anew
+    described = F.explode_outer(F.array(_described(text_col, histograms, repeats))).alias("_q")
+    rows = docs.select("*", described).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in (*counts, "kept")],
         *[value.alias(name) for name, value in counts.items()],
     )
