@@ -202,32 +202,11 @@ def zero_else(value: Column, zero: str, other: str) -> Column:
 
 
 def fixed_decimals(value: Column, digits: int) -> Column:
-    """Decimal text with `digits` places, rounded from the exact binary value.
+    """Decimal text with `digits` places, rounded half up from the shortest decimal of the double.
 
-    `format_string` alone rounds the shortest decimal of a double half up. Here
-    the product with 10^digits is split into its double and the exact error, and
-    true ties go to the even digit.
+    Infinite values are `Infinity` and `-Infinity`, no number is `NaN`.
     """
-    scale = 10.0**digits
-    splitter = 134217729.0  # 2^27 + 1 halves a double's digits
-
-    def high(x):
-        return x * splitter - (x * splitter - x)
-
-    x = F.abs(value)
-    scale_high = scale * splitter - (scale * splitter - scale)
-    scale_low = scale - scale_high
-    product = x * scale
-    x_low = x - high(x)
-    error = (
-        high(x) * scale_high - product + high(x) * scale_low + x_low * scale_high
-    ) + x_low * scale_low
-    whole = F.floor(product).cast("double")
-    over = product - whole - 0.5
-    odd = whole % 2 == 1
-    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd)))
-    rounded = (whole + up.cast("double")) / scale
-    return F.format_string(f"%.{digits}f", F.when(value < 0, -rounded).otherwise(rounded))
+    return F.format_string(f"%.{digits}f", value)
 
 
 def timestamp_of(date: Column, time: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

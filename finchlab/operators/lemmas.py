@@ -2,100 +2,39 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finchlab.functions import text as X
-
-# largest dictionary that is looked up inside the row; bigger ones are joined
-MAX_INLINE_ENTRIES = 50_000
-SLOTS = 4096
-
-
-def no_lemmas(words: Column) -> Column:
-    return words
-
-
-class LemmaLookup:
-    """Maps a token list to its lemmas inside the row, without explode or shuffle.
-
-    The dictionary is one literal of the plan: an array of small maps indexed by
-    the token's hash, so a lookup costs one array access and a few comparisons.
-    """
-
-    def __init__(self, slots: list[dict[str, str]]):
-        # a constant expression: the optimizer folds it into a literal
-        self._table = F.from_json(
-            F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>"
-        )
-
-    @classmethod
-    def of(cls, lemmas: DataFrame) -> LemmaLookup:
-        """Raises ValueError when the dictionary is over the size bound."""
-        entries = (
-            _one_lemma_per_token(lemmas)
-            .select(_slot(F.col("token")).alias("slot"), "token", "lemma")
-            .limit(MAX_INLINE_ENTRIES + 1)
-            .collect()
-        )
-        if len(entries) > MAX_INLINE_ENTRIES:
-            raise ValueError("dictionary too large for in-row lookup: use lemmatize_by_join")
-        slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
-        for entry in entries:
-            slots[entry["slot"]][entry["token"]] = entry["lemma"]
-        return cls(slots)
-
-    def __call__(self, words: Column) -> Column:
-        return F.transform(words, lambda w: F.coalesce(self._find(w), w))
-
-    def tagged(self, words: Column, tags: Column) -> Column:
-        """Lemmas by part of speech; dictionary tokens are `word/pos`.
-
-        A word whose tag maps to no part of speech is kept.
-        """
-        return F.zip_with(
-            words,
-            tags,
-            lambda w, t: F.coalesce(
-                self._find(F.concat(w, F.lit("/"), X.wordnet_pos(t))), w
-            ),
-        )
-
-    def _find(self, word: Column) -> Column:
-        return F.try_element_at(F.get(self._table, _slot(word)), word)
-
-
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
-
-
-def _one_lemma_per_token(lemmas: DataFrame) -> DataFrame:
-    return lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+from finchlab.session import stage_table
 
 
 def lemmatize_by_join(
-    df: DataFrame, key: str, words: str, lemmas: DataFrame, salts: int = 16
+    df: DataFrame, key: str, words: str, lemmas: DataFrame, tags: str | None = None
 ) -> DataFrame:
     """`words` with every token replaced by its lemma, for a dictionary of any size.
 
-    Tokens are spread over salted copies of their dictionary entry, so a token
-    that is a third of all tokens is not joined in one task.
+    Only tokens that change are moved: one join on the token, one regrouping by row.
+    The dictionary is written first, so the engine knows its size, sends it to all
+    tasks when small and splits a token that is a third of all tokens when not. `key`
+    must be unique. With `tags`, a column of part-of-speech tags beside the words,
+    dictionary tokens are `word/pos`; a word whose tag maps to no part of speech is
+    kept. Of several lemmas for one token the first in order counts.
     """
-    exploded = df.select(key, F.posexplode(words).alias("_pos", "token"))
-    exploded = exploded.withColumn("_salt", F.pmod(F.xxhash64(key, "_pos"), F.lit(salts)))
-    entries = _one_lemma_per_token(lemmas).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    found = exploded.join(entries, ["token", "_salt"], "left").groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("word")))
-        ).alias("_words")
+    entries = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    if tags is None:
+        # such entries change nothing
+        entries = entries.filter("token <> lemma")
+    entries = stage_table(entries, "lemmas")
+    tokens = F.col(words)
+    if tags is not None:
+        tokens = F.zip_with(words, tags, lambda w, t: F.concat(w, F.lit("/"), X.wordnet_pos(t)))
+    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    found = exploded.join(entries, "token").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("_pos", "lemma"))).alias("_changed")
     )
-    return df.join(found, key, "left").withColumn(
-        words, F.coalesce(F.col("_words.word"), F.array().cast("array<string>"))
-    ).drop("_words")
+    replaced = F.transform(words, lambda w, i: F.coalesce(F.try_element_at("_changed", i), w))
+    return df.join(found, key, "left").withColumn(words, replaced).drop("_changed")
 
 
 # fixed values: noun endings and what replaces them, longest first

@@ -4,7 +4,9 @@ Rows are ordered by `md5(key|seed)`. A sample of exactly n rows is every row up
 to the n-th hash, so once that hash is known the selection is a plain filter:
 no payload is shuffled and no global sort is needed. The n-th hash is found from
 two narrow passes over the key: counts per hash prefix, then ranks inside the
-one prefix that holds position n. `key` must be unique.
+one prefix that holds position n. `key` must be unique where a cut falls: rows that
+share the hash at a cut would all fall on one side of it, so that is an error. A null
+key is hashed like a word of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ PREFIX_DIGITS = 4
 
 
 def hash_of(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"|{seed}")))
 
 
 def _cuts(
@@ -62,10 +64,13 @@ def _cuts(
         F.inline(F.filter(F.array(*wanted), lambda w: (w["r"] > 0) & (w["r"] <= F.col("_c")))),
     )
     inside = Window.partitionBy(*strata, "_p", "i").orderBy("_h")
+    repeated = F.raise_error(F.lit("the key is not unique where the sample is cut"))
     hits = (
-        keyed.join(F.broadcast(edges), [*strata, "_p"])
+        keyed.join(edges, [*strata, "_p"])
         .withColumn("_rn", F.row_number().over(inside))
+        .withColumn("_next", F.lead("_h").over(inside))
         .filter(F.col("_rn") == F.col("r"))
+        .withColumn("_h", F.when(F.col("_next") == F.col("_h"), repeated.cast("string")).otherwise(F.col("_h")))
     )
     return hits.groupBy(*strata).agg(
         F.array(
@@ -179,11 +184,12 @@ def assign_folds(
     key: str,
     seed: int,
     label: str,
-    classes: Sequence[int] = (0, 1),
     fold_column: str = "fold",
 ) -> DataFrame:
     """Stratified folds of equal size within each class (sizes differ by at most 1).
 
+    The classes are those of the data; rows without a label are a class of their own.
+
     The folds of a class are consecutive ranges of its hash order, so only
     `folds - 1` hashes per class are needed and the rows stay where they are.
     """
@@ -193,13 +199,13 @@ def assign_folds(
         larger = total % F.lit(folds)
         return [small * i + F.least(larger, F.lit(i)) for i in range(1, folds)]
 
-    known = df.filter(F.col(label).isin(list(classes)))
-    cuts = _cuts(known, key, seed, targets, folds - 1, stratum=label)
+    known = df.withColumn("_class", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")))
+    # one row per class, written first so that its size decides how it is joined
+    cuts = stage_table(_cuts(known, key, seed, targets, folds - 1, stratum="_class"), "fold-cuts")
     h = hash_of(F.col(key), seed)
     below = [F.when(_up_to(h, F.col("_cuts")[i]), F.lit(i)) for i in range(folds - 1)]
-    # one row per class: the size is the number of classes given
     return (
-        known.join(F.broadcast(cuts), label)
+        known.join(cuts, "_class", "left")
         .withColumn(fold_column, F.coalesce(*below, F.lit(folds - 1)).cast("int"))
         .select(*df.columns, fold_column)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from finchlab.functions import patterns as P
 from finchlab.functions import text as X
-from finchlab.operators.lemmas import LemmaLookup, no_lemmas
+from finchlab.operators.lemmas import lemmatize_by_join
 from finchlab.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES, TEXT_FEATURES
 
 
@@ -40,17 +40,21 @@ def with_clean_text(df: DataFrame, column: str, new_column: str) -> DataFrame:
 def post_features(
     posts: DataFrame,
     punctuation_source: str = "raw",
-    lemmas: LemmaLookup = no_lemmas,
+    lemmas: DataFrame | None = None,
     keep: list[str] = (),
 ) -> DataFrame:
     """The 18 feature columns, preceded by the columns named in `keep`.
 
-    Map-only: one narrow stage of built-in expressions, no shuffle, no Python.
+    Map-only: one narrow stage of built-in expressions, no shuffle, no Python. With a
+    (token, lemma) table, tokens are replaced by a join; the first column of `keep` is
+    then the key of the posts.
     `punctuation_source="clean"` counts `!`, `?` and `$` after punctuation has
     been removed, which always gives 0; `"raw"` counts them in the post.
     """
     if punctuation_source not in ("raw", "clean"):
         raise ValueError("punctuation_source is 'raw' or 'clean'")
+    if lemmas is not None and not keep:
+        raise ValueError("lemmas need the key of the posts as first column of keep")
     carried = [*keep, "author", "publish_date", "target"]
     raw, clean = F.col("_raw"), F.col("_clean")
     parsed = posts.select(*carried, F.coalesce(F.col("content"), F.lit("")).alias("_raw"))
@@ -71,7 +75,9 @@ def post_features(
         X.pct_upper(clean).alias("pct_upper"),
         X.tokens(F.lower(clean)).alias("_tokens"),
     )
-    words = X.drop_words(F.col("_tokens"), P.ENGLISH_STOP_WORDS)
+    tokenised = tokenised.withColumn("_words", X.drop_words(F.col("_tokens"), P.ENGLISH_STOP_WORDS))
+    if lemmas is not None:
+        tokenised = lemmatize_by_join(tokenised, keep[0], "_words", lemmas)
     shaped = tokenised.select(
         *carried,
         X.without(raw, P.PICTURE).alias("content"),
@@ -79,7 +85,7 @@ def post_features(
         X.count_of(F.col("_hashtags")).alias("hashtags_count"),
         X.count_of(F.col("_emojis")).alias("emojis_count"),
         X.count_of(F.col("_tokens")).alias("word_count"),
-        X.joined(lemmas(words)).alias("content_tokenized_lemma_joined"),
+        X.joined(F.col("_words")).alias("content_tokenized_lemma_joined"),
         X.joined(F.col("_emojis")).alias("emojis_joined"),
         X.joined(F.col("_hashtags")).alias("hashtags_joined"),
     )
@@ -110,9 +116,7 @@ class PostFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         path = self.getOrDefault(self.lemmaPath)
-        lemmas = no_lemmas
-        if path:
-            lemmas = LemmaLookup.of(dataset.sparkSession.read.parquet(path))
+        lemmas = dataset.sparkSession.read.parquet(path) if path else None
         return post_features(
             dataset,
             self.getOrDefault(self.punctuationSource),

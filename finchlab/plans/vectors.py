@@ -57,16 +57,13 @@ EMOJIS = Block("emojis", "emojis_joined", 200)
 HASHTAGS = Block("hashtags", "hashtags_joined", 300)
 BLOCKS = [WORDS, EMOJIS, HASHTAGS]
 
-# rows fetched beyond the wanted size to see whether ties end there
-TIE_SLACK = 2000
 
+def frequent_words(features: DataFrame, block: Block) -> list[str]:
+    """The `size` first words, which every top n-gram begins with one of.
 
-def frequent_words(features: DataFrame, block: Block) -> list[str] | None:
-    """Words frequent enough to occur in one of the block's top terms.
-
-    An n-gram is never more frequent than any of its words, so a word rarer than
-    the `size`-th word cannot be part of a top term. Returns None when ties leave
-    the set of such words open; n-grams are then counted without pruning.
+    The first word of an n-gram is at least as frequent as the n-gram and sorts
+    before it. So behind a first word that is not among the first `size` words by
+    (frequency, word) there are `size` words that all come before the n-gram.
     """
     counts = (
         exploded(features, block.terms(), "term")
@@ -74,20 +71,7 @@ def frequent_words(features: DataFrame, block: Block) -> list[str] | None:
         .agg(F.count("*").alias("cf"))
         .orderBy(F.col("cf").desc(), "term")
     )
-    fetch = block.size + TIE_SLACK
-    top = counts.limit(fetch).collect()
-    if len(top) < block.size:
-        return None
-    least = top[block.size - 1]["cf"]
-    if len(top) == fetch and top[-1]["cf"] == least:
-        return None
-    return [row["term"] for row in top if row["cf"] >= least]
-
-
-def _masked(words: Column, keep: list[str] | None) -> Column:
-    if keep is None:
-        return words
-    return F.transform(words, lambda w: F.when(w.isin(keep), w))
+    return [row["term"] for row in counts.limit(block.size).collect()]
 
 
 def term_counts(
@@ -95,8 +79,9 @@ def term_counts(
 ) -> DataFrame:
     """(block, term, cf, df): corpus and document frequency, one pass for all blocks.
 
-    `prune` leaves out n-grams that cannot be among a block's top terms. Occurrences and first occurrences are exploded side by side and summed per
-    term, so nothing is shuffled per (post, term).
+    `prune` leaves out n-grams that cannot be among a block's top terms. Occurrences
+    and first occurrences are exploded side by side and summed per term, so nothing is
+    shuffled per (post, term).
     """
 
     def tally(block: str, items: Column, cf: int, df: int) -> Column:
@@ -115,7 +100,7 @@ def term_counts(
     for block in blocks:
         keep = frequent_words(features, block) if prune and block.longest > 1 else None
         name = f"{block.name}_terms"
-        listed = with_ngrams(listed, _masked(block.terms(), keep), block.longest, name)
+        listed = with_ngrams(listed, block.terms(), block.longest, name, keep)
         tallies.append(tally(block.name, F.col(name), 1, 0))
         tallies.append(tally(block.name, F.array_distinct(F.col(name)), 0, 1))
     return (
@@ -186,6 +171,11 @@ class TermLists(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return with_ngrams(dataset, _masked(block.terms(), known), block.longest, block.name)
 
 
+def _masked(words: Column, keep: list[str]) -> Column:
+    """Null in place of words outside the vocabulary's words: no n-gram over them is in it."""
+    return F.transform(words, lambda w: F.when(w.isin(keep), w))
+
+
 class PopulationScaler(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """(x - mean) / population deviation; a constant column becomes 0."""
 

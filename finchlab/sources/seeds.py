@@ -97,9 +97,6 @@ def default_seeds() -> list[tuple[str, int]]:
     return [("#" + tag, int(cap)) for tag, cap in pairs] + [("", ANY_POST_CAP)]
 
 
-MAX_SEEDS = 10_000
-
-
 def collect_by_seed(
     posts: DataFrame,
     seeds: list[tuple[str, int]],
@@ -115,8 +112,6 @@ def collect_by_seed(
     date, and a seed that matches a third of all posts is cut within slices of
     itself first.
     """
-    if len(seeds) > MAX_SEEDS:
-        raise ValueError(f"at most {MAX_SEEDS} seeds")
     wanted = posts.filter(
         (F.col("publish_date") >= F.lit(since).cast("timestamp_ntz"))
         & (F.col("publish_date") < F.lit(until).cast("timestamp_ntz"))
@@ -133,21 +128,15 @@ def collect_by_seed(
     table = posts.sparkSession.createDataFrame(
         [(seed, seed.lower(), cap) for seed, cap in seeds], "seed string, _tag string, cap int"
     )
-    hits = tagged.join(F.broadcast(table), "_tag")
+    hits = tagged.join(table, "_tag")
     newest = [F.col("publish_date").desc(), F.col(key).desc()]
     most = max(cap for _, cap in seeds)
     ranked = top_k_per_group(hits, ["seed"], newest, most, salt_by=[key])
     return ranked.filter(F.col("rank") <= F.col("cap")).select("seed", key, "rank")
 
 
-# picks are broadcast when the caps add up to at most this many rows
-MAX_BROADCAST_PICKS = 500_000
-
-
 def collected_posts(
     posts: DataFrame, picks: DataFrame, seeds: list[tuple[str, int]], key: str = "post_id"
 ) -> DataFrame:
     """Whole posts of `collect_by_seed`, with seed and rank; one row per seed and post."""
-    if sum(cap for _, cap in seeds) <= MAX_BROADCAST_PICKS:
-        picks = F.broadcast(picks)
     return posts.join(picks, key).select(*posts.columns, "seed", "rank")

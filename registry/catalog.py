@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from finchlab.functions import patterns as P
 from finchlab.functions import text as X
 from finchlab.operators import filters, knn, metrics, sampling
-from finchlab.operators.lemmas import LemmaLookup, lemmas_from_corpus, lemmatize_by_join
+from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import first_per_key
 from finchlab.plans import corpus, models, reports
@@ -437,11 +437,11 @@ def clean_text(spark, sf):
 
 
 @query(f"with {duck.POSTS} select post_id, round({duck.pct_upper('c')}, 6) as pct_upper, "
-       f"printf('%.4f', {duck.pct_upper('c')}) as shown from (select post_id, {duck.clean('content')} as c from posts)")
+       f"round({duck.pct_upper('c')}, 4) as shown from (select post_id, {duck.clean('content')} as c from posts)")
 def pct_upper(spark, sf):
     shares = _cleaned(spark, sf).select("post_id", X.pct_upper(F.col("c")).alias("p"))
     return shares.select(
-        "post_id", F.round("p", 6).alias("pct_upper"), X.fixed_decimals(F.col("p"), 4).alias("shown")
+        "post_id", F.round("p", 6).alias("pct_upper"), X.fixed_decimals(F.col("p"), 4).cast("double").alias("shown")
     )
 
 
@@ -492,8 +492,9 @@ def _dictionary(words: DataFrame) -> DataFrame:
 @query(_LEMMATISED)
 def lemma_lookup(spark, sf):
     words = stage_table(_content_tokens(spark, sf), "tokens")
-    lookup = LemmaLookup.of(stage_table(_dictionary(words), "lemmas"))
-    return words.select("post_id", X.joined(lookup(F.col("w"))).alias("lemmas"))
+    dictionary = stage_table(_dictionary(words), "dictionary")
+    replaced = lemmatize_by_join(words, "post_id", "w", dictionary)
+    return replaced.select("post_id", X.joined(F.col("w")).alias("lemmas"))
 
 
 @query(_LEMMATISED)
@@ -560,11 +561,10 @@ def feature_table(spark, sf):
 
 @query(
     f"with {duck.FEATURES}, {duck.terms([Block('words', WORDS.column, 0, True, 3, P.VECTORISER_STOP_WORDS)])}, "
-    f"{duck.vocabulary([WORDS])} select term, cf, df from counts where cf >= 5"
+    f"{duck.vocabulary([WORDS])} select term, cf, df from counts"
 )
 def ngram_counts(spark, sf):
-    tally = term_counts(staged_features(spark, sf), [WORDS])
-    return tally.filter(F.col("cf") >= 5).select("term", "cf", "df")
+    return term_counts(staged_features(spark, sf), [WORDS]).select("term", "cf", "df")
 
 
 @query(f"with {duck.FEATURES}, {duck.terms(BLOCKS)}, {duck.vocabulary(BLOCKS)} "

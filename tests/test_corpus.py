@@ -1,6 +1,7 @@
 """Sources, sinks, corpus jobs and sampling."""
 
 import datetime
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -243,3 +244,23 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(landing)
     ingest_available(stream_files(spark, landing, schema), table, mark)
     assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == list(range(8))
+
+
+def test_folds_keep_rows_of_every_label(spark):
+    rows = [(i, [0, 1, 2, None][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, target int")
+    out = assign_folds(df, 5, "k", 1, "target").collect()
+    assert sorted((r["k"], r["target"]) for r in out) == rows
+    sizes = Counter((r["target"], r["fold"]) for r in out)
+    assert set(sizes.values()) == {2} and len(sizes) == 20
+
+
+def test_sample_with_null_and_repeated_keys_is_exact_or_fails(spark):
+    nulls = spark.createDataFrame([(i if i % 5 else None,) for i in range(1, 21)], "k int")
+    twice = spark.createDataFrame([(i // 2,) for i in range(20)], "k int")
+    for df in (nulls, twice):
+        for n in range(1, 20):
+            try:
+                assert sample_exact(df, n, "k", 3).count() == n
+            except Exception as error:
+                assert "not unique where the sample is cut" in str(error)

@@ -1,5 +1,7 @@
 """Text functions on hand-made rows; Python's re is the yardstick where it applies."""
 
+import decimal
+import math
 import re
 import unicodedata
 
@@ -135,11 +137,18 @@ def test_small_mappings(spark):
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1000, 1000) | st.integers(-64, 64).map(lambda n: n / 32), min_size=1, max_size=30))
-def test_fixed_decimals_match_python(spark, values):
+def test_fixed_decimals_round_the_shortest_decimal(spark, values):
+    values = [*values, 1e16, 1e20, -1e20, math.inf, -math.inf, math.nan]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     for digits in (2, 3, 4):
         got = df.select("i", X.fixed_decimals(F.col("v"), digits).alias("s")).orderBy("i").collect()
-        assert [float(r["s"]) for r in got] == [float(f"{v:.{digits}f}") for v in values]
+        for row, v in zip(got, values, strict=True):
+            if math.isfinite(v):
+                exact = decimal.Decimal(repr(float(v)))
+                step = decimal.Decimal(1).scaleb(-digits)
+                assert decimal.Decimal(row["s"]) == exact.quantize(step, decimal.ROUND_HALF_UP)
+            else:
+                assert row["s"] == {"inf": "Infinity", "-inf": "-Infinity", "nan": "NaN"}[str(v)]
 
 
 def posts_frame(spark, rows):

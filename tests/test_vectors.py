@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from finchlab.operators.lemmas import LemmaLookup, lemmas_from_corpus, lemmatize_by_join
+from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded, with_ngrams
 from finchlab.plans import vectors as V
 
@@ -51,11 +51,10 @@ def test_vocabulary_is_exact_with_and_without_pruning(spark, size):
     assert [r["idx"] for r in got] == list(range(len(got)))
 
 
-def test_open_ties_switch_pruning_off(spark, monkeypatch):
-    monkeypatch.setattr(V, "TIE_SLACK", 1)
+def test_pruning_is_exact_under_ties(spark):
     rows = [f"w{i:03d} x{i:03d}" for i in range(50)]
     block = V.Block("words", "text", 3, True, 2)
-    assert V.frequent_words(texts(spark, rows), block) is None
+    assert V.frequent_words(texts(spark, rows), block) == ["w000", "w001", "w002"]
     got = V.vocabulary(texts(spark, rows), [block]).orderBy("idx").collect()
     assert [r["term"] for r in got] == ["w000", "w000 x000", "w001"]
 
@@ -119,15 +118,12 @@ def words_frame(spark):
     )
 
 
-def test_lemmas_in_row_equal_lemmas_by_join(spark):
+def test_lemmas_by_join(spark):
     table = spark.createDataFrame(
         [("foxes", "fox"), ("runs", "run"), ("runs", "zzz"), ("it's", "it")], "token string, lemma string"
     )
-    words = words_frame(spark)
-    inline = words.select("id", LemmaLookup.of(table)(F.col("w")).alias("w"))
-    joined = lemmatize_by_join(words, "id", "w", table)
-    assert sorted(map(str, inline.collect())) == sorted(map(str, joined.select("id", "w").collect()))
-    assert {r["id"]: r["w"] for r in inline.collect()}[1] == ["fox", "run", "fox"]
+    joined = lemmatize_by_join(words_frame(spark), "id", "w", table)
+    assert {r["id"]: r["w"] for r in joined.collect()} == {1: ["fox", "run", "fox"], 2: [], 3: ["run"] * 5}
 
 
 def test_lemmas_by_part_of_speech(spark):
@@ -135,17 +131,19 @@ def test_lemmas_by_part_of_speech(spark):
         [("saw/v", "see"), ("saw/n", "saw"), ("better/a", "good")], "token string, lemma string"
     )
     df = spark.createDataFrame(
-        [(["saw", "saw", "better", "better"], ["VBD", "NN", "JJ", "IN"])], "w array<string>, t array<string>"
+        [(1, ["saw", "saw", "better", "better"], ["VBD", "NN", "JJ", "IN"])],
+        "id int, w array<string>, t array<string>",
     )
-    lookup = LemmaLookup.of(table)
-    assert df.select(lookup.tagged(F.col("w"), F.col("t"))).first()[0] == ["see", "saw", "good", "better"]
+    got = lemmatize_by_join(df, "id", "w", table, tags="t").first()["w"]
+    assert got == ["see", "saw", "good", "better"]
 
 
-def test_large_dictionary_is_refused_inline(spark, monkeypatch):
-    monkeypatch.setattr("finchlab.operators.lemmas.MAX_INLINE_ENTRIES", 2)
-    table = spark.range(3).select(F.col("id").cast("string").alias("token"), F.lit("x").alias("lemma"))
-    with pytest.raises(ValueError, match="lemmatize_by_join"):
-        LemmaLookup.of(table)
+def test_dictionary_of_any_size(spark):
+    table = spark.range(100_000).select(
+        F.concat(F.lit("w"), "id").alias("token"), F.concat(F.lit("l"), "id").alias("lemma")
+    )
+    df = spark.createDataFrame([(1, ["w0", "w99999", "w100000"])], "id int, w array<string>")
+    assert lemmatize_by_join(df, "id", "w", table).first()["w"] == ["l0", "l99999", "w100000"]
 
 
 def test_lemmas_from_corpus(spark):
