@@ -9,13 +9,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "finchlab") -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "finchlab", checkpoints: str | None = None
+) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     parallel = "8" if cores == "*" else str(cores)
+    checkpoints = checkpoints or tempfile.mkdtemp(prefix=f"{app}-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", parallel)
+        .config("spark.checkpoint.dir", checkpoints)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         # HotSpot does not compile methods above 8000 bytes; long text expressions

@@ -16,13 +16,13 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType,
     timestamp_format: str = TIMESTAMP,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header and an explicit schema, columns matched by position.
 
-    Posts contain line breaks, so quoted fields may span lines by default. Such
-    a file cannot be split: keep files moderate in size, or pass
-    `multi_line=False` for line-per-post files.
+    By default a post is one line, and large files are split between tasks. Files
+    whose quoted fields hold line breaks need `multi_line=True`; such a file cannot be
+    split, so keep those moderate in size.
     """
     return (
         spark.read.schema(schema)
@@ -38,7 +38,7 @@ def read_labelled(
     spark: SparkSession,
     path: str | list[str],
     timestamp_format: str = "M/d/yyyy H:mm",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Raw labelled posts from any number of files; `src_file` and `src_row` order them."""
     return _with_source_order(
@@ -50,7 +50,7 @@ def read_control(
     spark: SparkSession,
     folder: str,
     first_file: str,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """All crawler CSVs directly in `folder`; sub-folders are not read.
 
@@ -90,9 +90,11 @@ SOURCE_ORDER = ["src_file", "src_block", "src_row"]
 CONTROL_ORDER = ["src_first", *SOURCE_ORDER]
 
 
-def read_posts(spark: SparkSession, path: str, timestamp_format: str = TIMESTAMP) -> DataFrame:
+def read_posts(
+    spark: SparkSession, path: str | list[str], timestamp_format: str = TIMESTAMP, multi_line: bool = False
+) -> DataFrame:
     """The unified corpus from CSV."""
-    return read_csv(spark, path, POSTS, timestamp_format)
+    return read_csv(spark, path, POSTS, timestamp_format, multi_line)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

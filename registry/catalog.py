@@ -37,7 +37,8 @@ from finchlab.plans.vectors import (
 from finchlab.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES
 from finchlab.session import checkpoint_dir, sized, spread, stage_table
 from finchlab.sources.seeds import collect_by_seed
-from finchlab.sources.writers import write_table
+from finchlab.sources.readers import read_posts
+from finchlab.sources.writers import write_csv, write_table
 from finchlab.streaming.ingest import ingest_available, stream_files
 from finchlab.streaming.scoring import score_available
 from registry import duck
@@ -229,6 +230,43 @@ def filter_with_emojis(spark, sf):
     )
 
 
+@query(f"with {duck.POSTS} select post_id, {duck.count(duck.found('content', P.HASHTAG))} as hashtags_count from posts "
+       f"where len({duck.found('content', P.HASHTAG)}) > 0")
+def filter_with_hashtags(spark, sf):
+    counted = posts(spark, sf, heavy=True).select("post_id", X.hashtags(F.col("content")).alias("tags"))
+    return counted.select("post_id", X.count_of(F.col("tags")).alias("hashtags_count")).filter("hashtags_count > 0")
+
+
+@query(f"with {duck.POSTS} select post_id, author from posts where len({duck.found('content', P.HASHTAG)}) = 2 "
+       "and author = 'src0'")
+def filter_exact_values(spark, sf):
+    tags = F.size(X.hashtags(F.col("content")))
+    return filters.by_key(posts(spark, sf), "author", "src0").filter(tags == 2).select("post_id", "author")
+
+
+@query(f"with {duck.POSTS} select post_id, author, content from posts where post_id = 7")
+def key_lookup(spark, sf):
+    return filters.by_key(posts(spark, sf), "post_id", 7).select("post_id", "author", "content")
+
+
+@query(f"with {duck.POSTS} select post_id, cast(publish_date as varchar) as publish_date from posts")
+def parse_timestamps(spark, sf):
+    texts = posts(spark, sf).select("post_id", F.date_format("publish_date", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return texts.select("post_id", X.parse_timestamp(F.col("t")).cast("string").alias("publish_date"))
+
+
+@query(f"with {duck.POSTS} select author, content, cast(publish_date as varchar) as publish_date, "
+       "cast(account_category = 'RightTroll' as int) as target from posts")
+def csv_round_trip(spark, sf):
+    """Two CSV folders, written and read again as one corpus."""
+    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = labelled_posts(spark, sf).select("author", "content", "publish_date", "target")
+    paths = [f"{folder}/class{k}" for k in (0, 1)]
+    for k, path in enumerate(paths):
+        write_csv(rows.filter(F.col("target") == k), path)
+    return read_posts(spark, paths, multi_line=True).withColumn("publish_date", F.col("publish_date").cast("string"))
+
+
 _TRIM = (
     "trimmed as (select post_id, author, content, publish_date, target from (select *, row_number() over "
     "(partition by content order by publish_date, post_id) as rn from labelled where retweet = 0 "

@@ -49,7 +49,7 @@ def test_labelled_csv_to_trimmed_corpus(spark, tmp_path):
     ]
     (tmp_path / "posts_1.csv").write_text("\n".join([RAW_HEADER, *lines]) + "\n")
     (tmp_path / "posts_2.csv").write_text("\n".join([RAW_HEADER, raw_line("h", "one")]) + "\n")
-    raw = readers.read_labelled(spark, str(tmp_path / "posts_*.csv"))
+    raw = readers.read_labelled(spark, str(tmp_path / "posts_*.csv"), multi_line=True)
     assert raw.count() == 8
     trimmed = corpus.trim_posts(corpus.labelled_category(raw), order=readers.SOURCE_ORDER)
     assert trimmed.columns == ["author", "content", "publish_date", "target"]
@@ -66,7 +66,7 @@ def test_control_csv_order_and_sinks(spark, tmp_path):
     (folder / "a.csv").write_text(header + "1,2016-01-01,10:00:00,ann,same\n2,2016-01-02,10:00:00,ann,x\n")
     (folder / "plain.csv").write_text(header + "3,2016-01-03,11:30:00,bob,same\n")
     (folder / "old_files" / "b.csv").write_text(header + "4,2016-01-04,10:00:00,old,old\n")
-    raw = readers.read_control(spark, str(folder), "plain.csv")
+    raw = readers.read_control(spark, str(folder), "plain.csv", multi_line=True)
     out = corpus.control_posts(raw, order=readers.CONTROL_ORDER)
     rows = {r["content"]: r for r in out.collect()}
     assert set(rows) == {"same", "x"}
@@ -75,7 +75,7 @@ def test_control_csv_order_and_sinks(spark, tmp_path):
     writers.write_csv(out, str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
     assert "2016-01-03 11:30:00" in text
-    again = readers.read_posts(spark, str(tmp_path / "csv"))
+    again = readers.read_posts(spark, str(tmp_path / "csv"), multi_line=True)
     assert sorted(again.collect()) == sorted(out.collect())
     writers.write_table(out, str(tmp_path / "table"))
     assert sorted(readers.read_table(spark, str(tmp_path / "table")).collect()) == sorted(out.collect())
