@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finchlab.functions import text as X
 from finchlab.operators.lists import exploded
-from finchlab.operators.ranking import top_k_per_group
+from finchlab.operators.ranking import newest_per_group
 
 # fixed values: seed hashtag and row cap; the empty seed takes any post
 TOP_HASHTAGS = """
@@ -109,8 +109,8 @@ def collect_by_seed(
     """Newest posts per seed hashtag up to the seed's cap: (seed, key, rank).
 
     Hashtags match without regard to case. Ranking only moves the key and the
-    date, and a seed that matches a third of all posts is cut within slices of
-    itself first.
+    date, and of a seed that matches a third of all posts only the newest rows up
+    to its own cap are ranked.
     """
     wanted = posts.filter(
         (F.col("publish_date") >= F.lit(since).cast("timestamp_ntz"))
@@ -129,10 +129,7 @@ def collect_by_seed(
         [(seed, seed.lower(), cap) for seed, cap in seeds], "seed string, _tag string, cap int"
     )
     hits = tagged.join(table, "_tag")
-    newest = [F.col("publish_date").desc(), F.col(key).desc()]
-    most = max(cap for _, cap in seeds)
-    ranked = top_k_per_group(hits, ["seed"], newest, most, salt_by=[key])
-    return ranked.filter(F.col("rank") <= F.col("cap")).select("seed", key, "rank")
+    return newest_per_group(hits, "seed", "publish_date", key, "cap").select("seed", key, "rank")
 
 
 def collected_posts(

@@ -377,20 +377,32 @@ def combined_corpus(spark, sf):
 _SEEDS = [("#Topic0", 40), ("#Topic3", 25), ("#the", 30), ("", 200)]
 
 
-@query(
-    f"with {duck.POSTS}, w as (select * from posts where publish_date >= timestamp '2015-01-01' and "
-    "publish_date < timestamp '2018-01-01' and language = 'English' and retweet = 0 and content not like 'RT %'), "
-    f"t as (select post_id, publish_date, unnest(list_append(list_distinct(list_transform({duck.found('content', P.HASHTAG)}, "
-    "lambda x: lower(x))), '')) as tag from w), seeds as (select * from (values "
-    + ", ".join(f"('{s}', '{s.lower()}', {c})" for s, c in _SEEDS)
-    + ") v(seed, tag, cap)), r as (select seed, cap, post_id, cast(row_number() over (partition by seed order by "
-    "publish_date desc, post_id desc) as int) as rank from t join seeds using (tag)) "
-    "select seed, post_id, rank from r where rank <= cap"
-)
+def _seed_sql(seeds: list[tuple[str, int]]) -> str:
+    return (
+        f"with {duck.POSTS}, w as (select * from posts where publish_date >= timestamp '2015-01-01' and "
+        "publish_date < timestamp '2018-01-01' and language = 'English' and retweet = 0 and content not like 'RT %'), "
+        f"t as (select post_id, publish_date, unnest(list_append(list_distinct(list_transform({duck.found('content', P.HASHTAG)}, "
+        "lambda x: lower(x))), '')) as tag from w), seeds as (select * from (values "
+        + ", ".join(f"('{s}', '{s.lower()}', {c})" for s, c in seeds)
+        + ") v(seed, tag, cap)), r as (select seed, cap, post_id, cast(row_number() over (partition by seed order by "
+        "publish_date desc, post_id desc) as int) as rank from t join seeds using (tag)) "
+        "select seed, post_id, rank from r where rank <= cap"
+    )
+
+
+@query(_seed_sql(_SEEDS))
 def seed_collection_capped(spark, sf):
     return collect_by_seed(posts(spark, sf, heavy=True), _SEEDS)
 
 
+_LARGE_SEEDS = [("#Topic1", 1500), ("#src0", 3000), ("", 5000)]
+
+
+@query(_seed_sql(_LARGE_SEEDS))
+def seed_collection_large(spark, sf):
+    return collect_by_seed(posts(spark, sf, heavy=True), _LARGE_SEEDS)
+
+
 @query("select event_id, user_id, event_type, value from events where event_id > 99")
 def incremental_since(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
