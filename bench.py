@@ -31,6 +31,7 @@ HEADLINE = [
     "clean_text",
     "tokens_nostop",
     "lemma_lookup",
+    "lemma_join",
     "feature_table",
     "features_staged",
     "top_terms_per_class",
@@ -42,6 +43,8 @@ HEADLINE = [
     "accuracy_recall_f1",
     "knn_vote",
     "knn_k_sweep",
+    "seed_collection_large",
+    "csv_round_trip",
     "matrix_staged",
     "dtree",
     "rforest",

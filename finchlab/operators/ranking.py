@@ -13,15 +13,14 @@ from finchlab.session import stage_table
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row of every key in `order` (which must be unique per key).
 
-    An aggregate rather than a window: copies are reduced before the shuffle, so
-    a text that makes up a third of all rows costs one row per map task. Nulls
-    form one group.
+    An aggregate rather than a window: copies are reduced before the shuffle, so a text
+    that makes up a third of all rows costs one row per map task. Rows are grouped and
+    sorted by a digest of the key, never by the text itself. Nulls form one group.
     """
-    rest = [c for c in order] + [c for c in df.columns if c not in {*keys, *order}]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
-    return best.select(
-        *[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns]
-    )
+    rest = list(dict.fromkeys([*order, *df.columns]))
+    digests = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null")) for c in keys]
+    best = df.groupBy(F.concat_ws("|", *digests).alias("_digest")).agg(F.min(F.struct(*rest)).alias("_first"))
+    return best.select(*[F.col("_first")[c].alias(c) for c in df.columns])
 
 
 def top_k_per_group(

@@ -277,3 +277,11 @@ def test_sample_with_null_and_repeated_keys_is_exact_or_fails(spark):
                 assert sample_exact(df, n, "k", 3).count() == n
             except Exception as error:
                 assert "not unique where the sample is cut" in str(error)
+
+
+def test_first_copies_are_not_sorted_by_text(spark):
+    df = spark.createDataFrame([("b", 2, "x"), (None, 1, "y"), ("b", 1, "z"), (None, 3, "w")], "t string, o int, p string")
+    out = first_per_key(df, ["t"], ["o"])
+    assert sorted(map(str, out.collect())) == sorted(["Row(t='b', o=1, p='z')", "Row(t=None, o=1, p='y')"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[t#" not in plan and "Sort [t#" not in plan

@@ -1,5 +1,7 @@
 """Neighbours, metrics, classifiers and scoring."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -36,11 +38,11 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_neighbours_match_brute_force(spark, broadcast_bytes):
+@pytest.mark.parametrize("cells", [1, 12])
+def test_neighbours_match_brute_force(spark, cells):
     df, rows = vectors_frame(spark)
     got = knn.nearest(
-        df.repartition(5), df, 7, skip_self=True, broadcast_bytes=broadcast_bytes, block_bytes=2500
+        df.repartition(5), df, 7, skip_self=True, max_cells=cells, cell_rows=5, block_bytes=2500
     ).collect()
     wanted = brute(rows, 7)
     by_query = {}
@@ -52,6 +54,17 @@ def test_neighbours_match_brute_force(spark, broadcast_bytes):
         assert [d for d, _, _ in by_query[i]] == pytest.approx([d for d, _, _ in near])
 
 
+def test_far_cells_are_not_visited(spark):
+    rows = [(i, [float(1000 * (i % 8) + i // 8 % 5), float(i // 40)], i % 3) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    near = knn.nearest(df, df, 3, cell_rows=50)
+    plan = near._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    for r in near.filter("rank = 3").collect():
+        own = sorted((math.dist(rows[r["query_id"]][1], v), i) for i, v, _ in rows)[2]
+        assert (r["distance"], r["train_id"]) == (pytest.approx(own[0]), own[1])
+
+
 def test_fewer_training_rows_than_k(spark):
     df, _ = vectors_frame(spark, n=4)
     assert knn.nearest(df, df, 10, skip_self=True).count() == 12
