@@ -30,6 +30,7 @@ the links of each. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,18 +220,28 @@ def _prefixes(percent: int, counters: np.ndarray):
 PREFIX_COLUMNS = ("doc", "n", "component", "at")
 
 
-COUNTS = "slot int, n bigint"
+COUNTS = "block int, counts binary"
+BLOCK = COUNTERS // 32
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, how many shingles fall into each counter."""
+    """Per task, how many shingles fall into each counter, in blocks of counters."""
     total = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         for value in batch.column(0):
             s = np.frombuffer(value.as_buffer(), dtype=np.uint64)
             np.add.at(total, (s >> np.uint64(44)).astype(np.int64), 1)
-    slot = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+    blocks = [k for k in range(COUNTERS // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
+    packed = [zlib.compress(total[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in blocks]
+    yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """The sum of one block of counters over all tasks."""
+    total = np.zeros(BLOCK, dtype=np.int64)
+    for value in rows["counts"].to_pylist():
+        total += np.frombuffer(zlib.decompress(value), dtype=np.int64)
+    return pa.table({"block": rows["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _fitting(n: str, m: str, percent: int):
@@ -297,7 +308,8 @@ def near_groups(
     # sets of the documents that need one, made once from their texts
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc"))
     wanted = wanted.unionByName(crowded.select("doc")).distinct()
-    sets = staged(texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(size), SETS), "sets")
+    # texts are dealt by id at every size of the other side
+    sets = staged(texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(size), SETS), "sets")
     copies = members.filter("doc > lead").select(F.col("lead").alias("x"), F.col("doc").alias("y"))
     links = staged(verified_links(pairs, sets, percent).unionByName(copies), "links")
 
@@ -314,7 +326,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = near_groups(docs, id_col, text_col)
     # only the ids that go are joined; a null id links with nothing and stays
     gone = staged(groups.filter("doc <> component_id").select("doc").distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["doc"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].cast("bigint") == gone["doc"], "left_anti")
 
 
 def _crowded_links(crowded: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
@@ -323,10 +335,10 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, component: DataFrame, pe
     own = sets.join(crowded, "doc").join(component, "doc", "left")
     own = own.select("doc", "n", F.coalesce("component", "doc").alias("component"), "shingles")
     counters = np.zeros(COUNTERS, dtype=np.int64)
-    summed = own.select("shingles").mapInArrow(_counted, COUNTS).groupBy("slot").agg(F.sum("n").alias("n"))
-    # at most COUNTERS rows, whatever the input
-    rows = summed.toArrow()
-    counters[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    summed = own.select("shingles").mapInArrow(_counted, COUNTS).groupBy("block").applyInArrow(_added, COUNTS)
+    # COUNTERS numbers, whatever the input
+    for row in summed.collect():
+        counters[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], dtype=np.int64)
     prefixes = staged(own.mapInArrow(_prefixes(percent, counters), PREFIX), "prefixes")
     open_ = prefixes.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     members = prefixes.join(open_.filter("c0 < c1").select("shingle"), "shingle")
