@@ -80,7 +80,8 @@ def _refined(
 
 def _labelled(hashed: DataFrame, groups: DataFrame, carry: Mapping[str, Column]) -> DataFrame:
     alone = F.col("_first").isNull()
-    return hashed.join(groups, "_key", "left").select(
+    # dealt by key at every size of the groups
+    return hashed.join(groups.hint("merge"), "_key", "left").select(
         "doc",
         F.when(alone, F.col("doc")).otherwise(F.col("_first.doc")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
