@@ -4,8 +4,9 @@ A text is described by two histograms: characters by class, and words of the com
 word lists (everything else is one more bin). Its Jensen-Shannon distance (square
 root of the divergence, base 2, 0 to 1) to the reference of each language is taken,
 and the nearest language counts. References are summed over all rows of the corpus
-that carry a language with a word list. Texts too short for a stable histogram are
-not judged by it.
+that carry a language with a word list. Every text with the words that the base rule
+asks for is judged by both distances; the limits are wider for short texts, which are
+further away by chance. Shorter texts fail the base rule, and have distances of 0.
 
 Everything is built-in column functions, so no row leaves the JVM and nothing is
 shuffled but one row of sums per task and language.
@@ -42,14 +43,14 @@ VOCABULARY = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    # shorter texts have no stable class histogram; up to `long_chars` only a gross distance counts
-    min_chars: int = 200
-    max_class_distance: float = 0.3
-    long_chars: int = 1000
-    max_long_class_distance: float = 0.17
-    # a text without any listed word is about 0.34 away
-    min_histogram_words: int = 200
+    # one key or address in a short text adds to the squared distance as 1 / characters; this is allowed
+    # where the words are as near as chance lets them be, a squared distance of `chance` / words
+    max_class_distance: float = 0.17
+    class_slack: float = 15.0
+    chance: float = 5.0
+    # a text without any listed word is about 0.336 away at any length, so that the limit at 50 words has to stay below
     max_word_distance: float = 0.32
+    word_slack: float = 0.5
     max_reference_markup_percent: float = 1.0
 
 
@@ -263,6 +264,19 @@ def word_distance(common: Column, n_words: Column, refs: Sequence[Reference]) ->
     return let(runs, of)
 
 
+# Limits fall smoothly with the length of the text, towards those of a long one.
+
+
+def class_limit(chars: Column, n_words: Column, by_word: Column, rules: Rules = RULES) -> Column:
+    near = by_word * by_word * n_words <= rules.chance
+    wide = F.sqrt(rules.max_class_distance**2 + rules.class_slack / chars)
+    return F.when(near, wide).otherwise(rules.max_class_distance)
+
+
+def word_limit(n_words: Column, rules: Rules = RULES) -> Column:
+    return rules.max_word_distance + rules.word_slack / n_words
+
+
 def judged(
     docs: DataFrame,
     text_col: str = "text",
@@ -278,6 +292,7 @@ def judged(
     by_class = class_distance(q["classes"], known) if known else F.lit(0.0)
     by_word = word_distance(q["common"], q["n_words"], known) if known else F.lit(0.0)
     chars = total_of(q["classes"])
+    long_enough = q["n_words"] >= rules.min_words
     base = (q["n_words"] < rules.min_words) | (
         100 * q["n_repeat_words"] > rules.max_repeat_percent * q["n_words"]
     )
@@ -287,9 +302,10 @@ def judged(
         "n_symbols": q["classes"][MARKUP].cast("bigint"),
         "n_dup_lines": q["n_dup_lines"],
         "n_repeat_words": q["n_repeat_words"],
-        "class_distance": F.when(chars >= rules.min_chars, by_class).otherwise(0.0),
-        "_far": F.when(chars >= rules.long_chars, rules.max_long_class_distance).otherwise(rules.max_class_distance),
-        "word_distance": F.when(q["n_words"] >= rules.min_histogram_words, by_word).otherwise(0.0),
+        "class_distance": F.when(long_enough, by_class).otherwise(0.0),
+        "_class_limit": F.when(long_enough, class_limit(chars, q["n_words"], by_word, rules)).otherwise(0.0),
+        "_word_limit": F.when(long_enough, word_limit(q["n_words"], rules)).otherwise(0.0),
+        "word_distance": F.when(long_enough, by_word).otherwise(0.0),
         "base_failed": base,
     }
     # as the one row of a generator: a filter on the result is then not computed below it, text by text anew
@@ -298,5 +314,5 @@ def judged(
         *[F.col(f"`{c}`") for c in docs.columns if c not in (*counts, "kept")],
         *[value.alias(name) for name, value in counts.items()],
     )
-    fine = (F.col("class_distance") <= F.col("_far")) & (F.col("word_distance") <= rules.max_word_distance)
-    return rows.withColumn("kept", ~F.col("base_failed") & fine).drop("_far")
+    fine = (F.col("class_distance") <= F.col("_class_limit")) & (F.col("word_distance") <= F.col("_word_limit"))
+    return rows.withColumn("kept", ~F.col("base_failed") & fine).drop("_class_limit", "_word_limit")

@@ -75,6 +75,29 @@ def test_clean_documents_stay(spark):
     assert counts[(0, False)] > counts.get((0, True), 0)
 
 
+def test_short_documents_are_judged_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality.judged(docs).join(labels, "doc_id").filter("not base_failed")
+    rows = judged.withColumn("long", F.expr("n_words >= 200")).groupBy("long", "quality", "kept").count().collect()
+    n = {(r.long, r.quality, r.kept): r["count"] for r in rows}
+    # 59 of 112 short bad documents were kept when short texts had other rules
+    assert n.get((False, 0, True), 0) <= 0.05 * n[(False, 0, False)]
+    assert n.get((False, 1, False), 0) <= 0.01 * n[(False, 1, True)]
+    assert n.get((True, 0, True), 0) == n.get((True, 1, False), 0) == 0
+
+
+def test_limits_have_no_step(spark):
+    n, near = F.col("id"), F.lit(0.1)
+    sizes = spark.range(50, 450).select(
+        quality.class_limit(6 * n, n, near).alias("c"), quality.word_limit(n).alias("w")
+    )
+    c, w = np.array(sizes.orderBy("id").collect()).T
+    for limit, last in ((c, quality.RULES.max_class_distance), (w, quality.RULES.max_word_distance)):
+        assert -0.01 < np.diff(limit).min() and np.diff(limit).max() < 0 and last < limit[-1] < last + 0.02
+    assert w[0] < 0.3355  # nearer than a text without any listed word
+
+
 def test_mixing_counts(spark):
     rows = [row(k, "t", "en", "a" if k % 4 else "b") for k in range(4000)] + [row(None, "t", "en", None)]
     docs = spark.createDataFrame(rows, SCHEMA)
