@@ -844,9 +844,9 @@ _model_query("logreg", lambda train: models.logistic_regression(train.count()))
 _model_query("dtree", lambda train: models.decision_tree(5))
 _model_query("rforest", lambda train: models.random_forest(depth=6))
 _model_query("rforest_tuned", lambda train: models.random_forest(*models.TUNED_FORESTS[1]))
-_model_query("gbt", lambda train: models.boosted_trees(rounds=20))
-_model_query("adaboost", lambda train: AdaBoost(rounds=10))
-_model_query("adaboost_by_class", lambda train: AdaBoost(rounds=10, algorithm="SAMME"))
+_model_query("gbt", lambda train: models.boosted_trees())
+_model_query("adaboost", lambda train: AdaBoost())
+_model_query("adaboost_by_class", lambda train: AdaBoost(algorithm="SAMME"))
 
 
 @query()
@@ -881,18 +881,15 @@ def _knn_predictions(train, test):
 @query()
 def model_comparison(spark, sf):
     _, train, test, _ = _split_features(spark, sf)
-    estimators = {
-        "logistic regression": models.logistic_regression(train.count()),
-        "decision tree": models.decision_tree(5),
-        "random forest": models.random_forest(trees=20, depth=6),
-    }
+    estimators = models.default_estimators(train.count())
     others = {"k nearest neighbours": _knn_predictions(train, test)}
     return models.bake_off(train, test, estimators, others)[1]
 
 
 @query()
 def best_model(spark, sf):
-    order = F.when(F.col("estimator") == "logistic regression", 0).otherwise(1)
+    names = [*models.default_estimators(1), "k nearest neighbours"]
+    order = F.array_position(F.lit(names), F.col("estimator"))
     table = model_comparison(spark, sf).withColumn("position", order)
     return metrics.best_by_recall(table, "position")
 
@@ -900,22 +897,20 @@ def best_model(spark, sf):
 @query()
 def grid_search(spark, sf):
     _, train, _, _ = _split_features(spark, sf)
-    found = models.grid_search(
-        train,
-        "post_id",
-        models.random_forest(trees=10, depth=4),
-        {"impurity": ["gini", "entropy"], "maxDepth": [4, 6]},
-    )
-    return models.grid_results(found, spark)
+    return models.grid_results(models.grid_search(train, "post_id"), spark)
 
 
 @query()
 def cv_recall(spark, sf):
     _, train, _, _ = _split_features(spark, sf)
-    recall = models.cross_validated_recall(
-        train, "post_id", models.decision_tree(5), folds=10
-    )
-    return spark.createDataFrame([("decision tree", recall)], "estimator string, mean_recall double")
+    estimators = models.default_estimators(train.count()) | {
+        f"random forest, tuned {i}": models.random_forest(*tuned) for i, tuned in enumerate(models.TUNED_FORESTS, 1)
+    }
+    rows = [
+        (name, models.cross_validated_recall(train, "post_id", estimator, folds=10))
+        for name, estimator in estimators.items()
+    ]
+    return spark.createDataFrame(rows, "estimator string, mean_recall double")
 
 
 def _scorer(spark, sf):

@@ -229,3 +229,38 @@ def test_batch_stream_and_single_post_agree_after_reload(spark, corpus, matrix,
     label, share = models.score_text(single, spark, "zinc tin iron")
     assert label == 1 and share > 0.5
     assert models.score_text(single, spark, "apple pear plum")[0] == 0
+
+
+def test_registered_model_queries_do_the_whole_job(spark, monkeypatch):
+    from registry import catalog
+
+    train = spark.createDataFrame([(1, 0)], "post_id long, target int")
+    seen = []
+
+    def cross_validated(frame, key, estimator, folds):
+        seen.append((type(estimator).__name__, folds))
+        return 0.5
+
+    def baked(frame, test, estimators, others):
+        rows = [(name, 0.5, 0.5) for name in [*others, *reversed(estimators)]]
+        return {}, spark.createDataFrame(rows, "estimator string, f1_score double, recall_score double")
+
+    fitted = {}
+    monkeypatch.setattr(catalog, "_split_features", lambda *_: (None, train, train, train))
+    monkeypatch.setattr(catalog, "_knn_predictions", lambda *_: None)
+    monkeypatch.setattr(catalog, "_model", lambda s, sf, name, of: fitted.update({name: of(train)}) or 1 / 0)
+    monkeypatch.setattr(models, "cross_validated_recall", cross_validated)
+    monkeypatch.setattr(models, "bake_off", baked)
+    monkeypatch.setattr(models, "grid_results", lambda found, _: found)
+    monkeypatch.setattr(models, "grid_search", lambda frame, key, estimator=None, grid=models.FOREST_GRID: grid)
+    for name in ("gbt", "adaboost", "adaboost_by_class"):
+        with pytest.raises(ZeroDivisionError):
+            catalog.QUERIES[name](spark, "")
+    assert fitted["gbt"].getMaxIter() == 100
+    assert {e.getOrDefault(e.rounds) for n, e in fitted.items() if n != "gbt"} == {50}
+    assert catalog.grid_search(spark, "") == models.FOREST_GRID
+    assert len(catalog.cv_recall(spark, "").collect()) == 8 and {f for _, f in seen} == {10}
+    assert {n for n, _ in seen} >= {"AdaBoost", "GBTClassifier", "RandomForestClassifier", "LogisticRegression"}
+    compared = {r.estimator for r in catalog.model_comparison(spark, "").collect()}
+    assert compared == {*models.default_estimators(1), "k nearest neighbours"}
+    assert catalog.best_model(spark, "").first().estimator == "logistic regression"
