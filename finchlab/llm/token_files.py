@@ -2,9 +2,10 @@
 
 Documents are ordered by id over range partitions, encoded, and cut into shards of
 about `shard_tokens` ids. In a shard, frequent pairs of neighbouring ids are replaced
-by new symbols, round after round. A round takes the most frequent pairs of which no
-symbol is both a left and a right side, so none of their occurrences overlap and all
-are replaced at once; pairs never cross documents. A shard stores its rules (two
+by new symbols, round after round, until no pair occurs LEAST times. A round takes the
+most frequent pairs of which no symbol is both a left and a right side, so none of their
+occurrences overlap and all are replaced at once; a pair of one symbol with itself is
+counted and replaced two by two from the start of a run. Pairs never cross documents. A shard stores its rules (two
 symbols each, older ones first), the expansion length of every rule, the reduced
 sequence, and where each document begins in it; so one document is decoded, whole or
 from any id on, without the others.
@@ -34,26 +35,29 @@ from finchlab.llm.words import pieces
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 3
 PAIRS = 1024
 LEAST = 12
 _SLOTS = 18
 
 
 def frequent_pairs(left: np.ndarray, right: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` frequent pairs, no symbol on both sides, most frequent first."""
+    """Up to `most` frequent pairs, no symbol on both sides of two pairs, most frequent first; none if none occurs `least` times."""
     key = (left.astype(np.uint64) << np.uint64(32)) | right
     slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
     # a pair is no more frequent than its slot: only pairs of full slots are counted one by one
     full = np.bincount(slot, minlength=1 << _SLOTS)
     floor = max(least, int(np.partition(full, -2 * most)[-2 * most]))
-    pairs, counts = np.unique(key[full[slot] >= floor], return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    order = order[counts[order] >= least]
+    # full slots may hold rare pairs only; then all that can reach `least` are counted
+    for at_least in sorted({floor, least}, reverse=True):
+        pairs, counts = np.unique(key[full[slot] >= at_least], return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] >= least]
+        if len(order):
+            break
     is_left, is_right, chosen = set(), set(), []
     for k in pairs[order].tolist():
         a, b = k >> 32, k & 0xFFFFFFFF
-        if a == b or a in is_right or b in is_left:
+        if a in is_right or b in is_left or (a == b and a in is_left):
             continue
         is_left.add(a)
         is_right.add(b)
@@ -64,7 +68,18 @@ def frequent_pairs(left: np.ndarray, right: np.ndarray, most: int, least: int) -
     return both[:, 0], both[:, 1]
 
 
-def compress(ids: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = LEAST):
+def second_of_run(seq: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Where a pair of one symbol with itself overlaps the pair before it, counted from the start of the run."""
+    at = np.flatnonzero((seq[:-1] == seq[1:]) & inner[:-1])
+    if not len(at):
+        return at
+    new = np.concatenate(([True], np.diff(at) != 1))
+    return at[(at - at[new][np.cumsum(new) - 1]) % 2 == 1]
+
+
+def compress(
+    ids: np.ndarray, marks: np.ndarray, rounds: int | None = None, most: int = PAIRS, least: int = LEAST
+):
     """Reduced sequence, document offsets in it, rules, expansion lengths, first rule symbol."""
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 1
@@ -72,10 +87,10 @@ def compress(ids: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS, most: int
     inner = np.ones(len(seq), dtype=bool)
     inner[marks[1:][marks[1:] > 0] - 1] = False  # the last id of each document
     rules = [np.zeros((0, 2), dtype=np.uint32)]
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        where = np.flatnonzero(inner[:-1])
+    while len(seq) > 1 and (rounds is None or len(rules) <= rounds):
+        apart = inner[:-1].copy()
+        apart[second_of_run(seq, inner)] = False
+        where = np.flatnonzero(apart)
         left, right = frequent_pairs(seq[where], seq[where + 1], most, least)
         if not len(left):
             break
@@ -87,7 +102,7 @@ def compress(ids: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS, most: int
         rule = np.full((len(lefts) + 1, len(rights) + 1), -1, dtype=np.int32)
         rule[as_left[left], as_right[right]] = np.arange(len(left))
         hit = rule[as_left[seq[:-1]], as_right[seq[1:]]]
-        hit[~inner[:-1]] = -1
+        hit[~apart] = -1
         at = np.flatnonzero(hit >= 0)
         seq[at] = symbols + hit[at].astype(np.uint32)
         inner[at] = inner[at + 1]
@@ -151,7 +166,7 @@ SHARDS = (
 )
 
 
-def _encoded(path: str, end_id: int, shard_tokens: int, rounds: int):
+def _encoded(path: str, end_id: int, shard_tokens: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         shard, names, held, sizes, total = 0, [], [], [], 0
@@ -204,7 +219,7 @@ def write_tokens(
     text_col: str = "text",
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> str:
     """Write all texts; returns the folder."""
     folder = folder or new_folder(docs.sparkSession, "token-shards")

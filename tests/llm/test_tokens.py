@@ -74,6 +74,37 @@ def test_compress_shrinks_and_expands():
     assert np.concatenate(([0], np.cumsum(sizes)))[starts].tolist() == marks.tolist()
 
 
+def plain_pairs(seq, starts):
+    """Occurrences of each pair inside documents, without overlaps."""
+    count = {}
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        last = None
+        for i in range(a, b - 1):
+            pair = (int(seq[i]), int(seq[i + 1]))
+            if pair[0] == pair[1] and last == (pair, i - 1):
+                last = None
+                continue
+            last = (pair, i)
+            count[pair] = count.get(pair, 0) + 1
+    return count
+
+
+@pytest.mark.parametrize("most", [2, token_files.PAIRS])
+def test_compress_goes_on_until_no_pair_is_frequent(most):
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 5000, 64)
+    parts = [np.concatenate((rng.integers(0, 5000, 9), passage)) for _ in range(200)]
+    parts += [np.full(1000, 7), np.full(1001, 8), rng.integers(0, 30, 4000), np.full(3, 7)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    marks = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    seq, starts, rules, lengths, base = token_files.compress(ids, marks, most=most)
+    assert max(plain_pairs(seq, starts).values()) < token_files.LEAST
+    assert lengths.max() >= 64 and (rules[:, 0] == rules[:, 1]).any()
+    assert token_files.expand(seq, rules, base).tolist() == ids.tolist()
+    sizes = np.where(seq >= base, lengths[np.maximum(seq.astype(int) - base, 0)], 1)
+    assert np.concatenate(([0], np.cumsum(sizes)))[starts].tolist() == marks.tolist()
+
+
 def test_packing(docs, nothing):
     path = public_tokenizers.path(FILES[1])
     got = [r.asDict() for r in packing.packed(docs, path, size=64).collect()]
