@@ -17,6 +17,7 @@ from finchlab.llm import (
     exact_dedup,
     language_id,
     lm_scoring,
+    merkle,
     mixing,
     near_dedup,
     packing,
@@ -111,6 +112,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("doc", "doc_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -127,6 +140,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_substring_dedup,
         op10_packing,
+        op13_merkle_manifest,
         pipeline,
     )
     return {f.__name__: f for f in every}
@@ -212,6 +226,53 @@ select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
   sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from z
 """
 
+def _crc32(text: str) -> str:
+    """DuckDB expression: crc32 of the UTF-8 bytes of a text, bit by bit."""
+    data = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex({text}), 2 * i - 1, 2))::bigint)"
+    bits = "list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b))"
+    return f"xor(list_reduce({data}, lambda c, b: {bits}, 4294967295::bigint), 4294967295)"
+
+
+def _field(name: str, value: str | None = None) -> str:
+    text = f"({value or name})::varchar"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in merkle.FIELDS[:-1])
+
+# Levels by recursion, up to the sources and then over them; steps of each leaf, and the way back up.
+OP13_SQL = f"""
+with recursive d as materialized (select doc_id, source, text, {_HEAD} as head from documents),
+f as materialized (select doc_id, source, sha256(head || {_field("text")}) as leaf,
+  case when ({_crc32("doc_id::varchar")}) % 2 = 0 then sha256(head || {_field("t", "replace(text, chr(10), '')")}) end as changed,
+  row_number() over (partition by source order by doc_id) - 1 as pos, count(*) over (partition by source) as n from d),
+v as (select 0 as lev, source, pos, n, leaf as h from f
+  union all select lev + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos))
+  from v where n > 1 group by lev, source, pos // 3, n),
+w as materialized (select * from v),
+s as materialized (select source, h as subroot, row_number() over (order by source nulls first) - 1 as pos,
+  count(*) over () as n from w where n = 1),
+z as (select 100 as lev, pos, n, subroot as h from s
+  union all select lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos))
+  from z where n > 1 group by lev, pos // 3, n),
+y as materialized (select * from z),
+a as (select lev, source, pos // 3 as parent, list(h order by pos) as hs from w where n > 1 group by all),
+b as (select lev, pos // 3 as parent, list(h order by pos) as hs from y where n > 1 group by all),
+t as (select doc_id, lev, hs, f.pos // (3 ** lev)::bigint % 3 as slot from f join a on a.source is not distinct from f.source
+    and parent = f.pos // (3 ** (lev + 1))::bigint
+  union all select doc_id, lev, hs, s.pos // (3 ** (lev - 100))::bigint % 3 as slot
+  from f join s on s.source is not distinct from f.source join b on parent = s.pos // (3 ** (lev - 99))::bigint),
+p as materialized (select doc_id, row_number() over (partition by doc_id order by lev) as k,
+  array_to_string(hs[:slot], '') as l, array_to_string(hs[slot + 2:], '') as r from t),
+g as (select doc_id, 0 as k, coalesce(changed, leaf) as h from f
+  union all select g.doc_id, g.k + 1, sha256(l || h || r) from g join p on p.doc_id = g.doc_id and p.k = g.k + 1),
+e as (select doc_id, arg_max(h, k) as folded_root from g group by doc_id),
+q as (select doc_id, sha256(string_agg(l || r, '' order by k)) as proof_sha256 from p group by doc_id)
+select f.doc_id, leaf, subroot, (select h from y where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+  folded_root, folded_root = (select h from y where n = 1) as verified
+from f join s on s.source is not distinct from f.source join e using (doc_id) left join q using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -220,4 +281,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_scoring": OP5_SQL,
         "op7_source_mixing": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
