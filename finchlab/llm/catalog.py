@@ -22,6 +22,7 @@ from finchlab.llm import (
     near_dedup,
     packing,
     quality,
+    spelling,
     token_files,
     toxicity,
 )
@@ -112,6 +113,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("doc", "doc_id")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -140,6 +145,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_substring_dedup,
         op10_packing,
+        op12_spelling_variants,
         op13_merkle_manifest,
         pipeline,
     )
@@ -238,6 +244,32 @@ def _field(name: str, value: str | None = None) -> str:
     return f"coalesce(strlen({text}) || ':' || {text}, '-')"
 
 
+# Equal lengths: one place left out on both sides; others: one letter left out of the longer word.
+OP12_SQL = f"""
+with recursive d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as w from documents),
+g as materialized (select doc_id || ':' || w as t, w, count(*) as n from d group by doc_id, w),
+h as materialized (select w, n, {_crc32("t")} as h from g),
+v as materialized (select case when h % {spelling.EVERY} = 0
+    then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, sum(n)::bigint as n from h
+  group by 1 having length(word) >= {spelling.SHORTEST} and sum(n) >= {spelling.LEAST}),
+i as materialized (select word, n, i, substr(word, 1, i - 1) as l, substr(word, i + 1) as r
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+e as (select distinct i.word as x, v.word as y from i join v on v.word = l || r),
+p as materialized (select a.word as word, b.word as near from i a join i b
+    on a.i = b.i and a.l = b.l and a.r = b.r and a.word <> b.word
+  union all select x, y from e union all select y, x from e),
+b as (select p.word, count(*) as n_near, max(v.n) as most, list(near order by v.n desc, near)[1] as best
+  from p join v on v.word = p.near group by p.word),
+f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near,
+  case when most >= {spelling.RATIO} * v.n then best end as form,
+  case when most >= {spelling.RATIO} * v.n then most end as form_n from v left join b using (word)),
+c as (select word, form as root, 1 as k from f where form is not null
+  union all select c.word, f.form, k + 1 from c join f on f.word = c.root where f.form is not null),
+t as (select word, arg_max(root, k) as root from c group by word)
+select f.word, form, coalesce(t.root, f.word) as root, n, n_near, form_n from f left join t using (word)
+"""
+
 _HEAD = " || ".join(_field(c) for c in merkle.FIELDS[:-1])
 
 # Levels by recursion, up to the sources and then over them; steps of each leaf, and the way back up.
@@ -281,5 +313,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_scoring": OP5_SQL,
         "op7_source_mixing": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op12_spelling_variants": OP12_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }
