@@ -41,9 +41,11 @@ def difference(spark, con, query, sql: str, sf: str) -> str | None:
         return f"{len(ours)} rows != {len(theirs)}"
     for column in ours.columns:
         a, b = ours[column], theirs[column]
+        if {a.dtype.kind, b.dtype.kind} == {"i", "f"} and a.isna().any() and b.isna().any():
+            a, b = a.astype("Int64"), b.astype("Int64")  # integers with nulls
         if len(a) and a.dtype.kind != b.dtype.kind:
             return f"{column}: {a.dtype} != {b.dtype}"
-        same = (a == b) | (a.isna() & b.isna())
+        same = ((a == b) | (a.isna() & b.isna())).fillna(False)
         if not same.all():
             at = same.idxmin()
             return f"{column}: {(~same).sum()} differ, first {a[at]!r} != {b[at]!r}"
