@@ -23,6 +23,7 @@ from finchlab.llm import (
     packing,
     quality,
     spelling,
+    suffix_dedup,
     token_files,
     toxicity,
 )
@@ -113,6 +114,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("doc", "doc_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.trim_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -145,6 +153,7 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_substring_dedup,
         op10_packing,
+        op11_suffix_dedup,
         op12_spelling_variants,
         op13_merkle_manifest,
         pipeline,
@@ -231,6 +240,26 @@ z as (select doc_id, w, gone,
 select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
   sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from z
 """
+# Every string of 100 bytes by its digest; the first place of each, then the bytes the others cover.
+OP11_SQL = f"""
+with d as materialized (select doc_id, hex(coalesce(text, '')) as x, strlen(coalesce(text, '')) as n from documents),
+p as (select doc_id, x, unnest(range(1, n - {suffix_dedup.WINDOW - 2})) as i from d where n >= {suffix_dedup.WINDOW}),
+k as materialized (select doc_id, i, md5(substr(x, 2 * i - 1, {2 * suffix_dedup.WINDOW})) as t from p),
+f as (select t, min((doc_id, i)) as first from k group by t having count(*) > 1),
+w as (select doc_id, i from k join f using (t) where (doc_id, i) <> first),
+r as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -{suffix_dedup.WINDOW}) as step from w),
+g as (select doc_id, i, sum((step > {suffix_dedup.WINDOW})::int) over (partition by doc_id order by i) as run from r),
+s as (select doc_id, run, min(i) as a, max(i) + {suffix_dedup.WINDOW} as b from g group by doc_id, run),
+o as (select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as last,
+  list((a, b) order by a) as spans from s group by doc_id),
+q as (select s.doc_id, a, b, lag(b, 1, 1) over (partition by s.doc_id order by a) as prev from s),
+h as (select doc_id, string_agg(substr(x, 2 * prev - 1, 2 * (a - prev)), '' order by a) as kept
+  from q join d using (doc_id) group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when last is null then x else kept || substr(x, 2 * last - 1) end)) as kept_sha256
+from d left join o using (doc_id) left join h using (doc_id)
+"""
+
 
 def _crc32(text: str) -> str:
     """DuckDB expression: crc32 of the UTF-8 bytes of a text, bit by bit."""
@@ -313,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_scoring": OP5_SQL,
         "op7_source_mixing": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_suffix_dedup": OP11_SQL,
         "op12_spelling_variants": OP12_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }
