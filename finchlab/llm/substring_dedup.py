@@ -20,8 +20,9 @@ symbols. Only these picks are shuffled, about one per 15 words:
 Defined results: null or empty text has no words and is kept as it is; texts with
 fewer than `window` words lose nothing; windows are judged on the input and on
 documents with a strictly smaller id, so repeats inside one document, and rows
-with the same id, do not count as repeats; rows with a null id are never removed
-from and never taken as a source. Extra columns are ignored.
+with the same id, do not count as repeats; each row of an id that several texts
+share is judged on its own; rows with a null id are never removed from and never
+taken as a source. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finchlab.llm.common import staged
+from finchlab.llm.common import staged, tagged
 from finchlab.llm.words import find_words, mix, pieces, stream, word_hashes
 
 WINDOW = 50
@@ -186,32 +187,33 @@ def picks(hashes: np.ndarray, rows: np.ndarray, window: int, rounds: int):
     return row[todo[first]], symbol[first], todo[first], count
 
 
-ANCHORS = "doc bigint, symbol bigint, block bigint, first int, windows int"
+ANCHORS = "doc bigint, tag bigint, symbol bigint, block bigint, first int, windows int"
 
 
 def _anchors(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                words = find_words(part.column(1))
+                words = find_words(part.column(2))
                 hashes = word_hashes(words)
                 row, symbol, first, count = picks(hashes, words.rows, window, rounds)
                 block = Rolling(hashes).of(first, first + count + window - 1, 0)
                 yield pa.record_batch(
                     [
                         part.column(0).take(pa.array(row)),
+                        part.column(1).take(pa.array(row)),
                         pa.array(symbol.view(np.int64)),
                         pa.array(block.view(np.int64)),
                         pa.array((first - words.rows[row]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
                     ],
-                    names=["doc", "symbol", "block", "first", "windows"],
+                    names=["doc", "tag", "symbol", "block", "first", "windows"],
                 )
 
     return run
 
 
-WINDOWS = "doc bigint, a bigint, b bigint, first int"
+WINDOWS = "doc bigint, tag bigint, a bigint, b bigint, first int"
 
 
 def _windows(window: int):
@@ -219,11 +221,11 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
+            batch = batch.filter(batch.column(3).is_valid())
             for part in pieces(batch, "text"):
-                words = find_words(part.column(1))
+                words = find_words(part.column(2))
                 rolling = Rolling(word_hashes(words))
-                spans = part.column(2)
+                spans = part.column(3)
                 row = np.repeat(np.arange(part.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
                 flat = spans.flatten()
                 first = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -237,24 +239,22 @@ def _windows(window: int):
                 yield pa.record_batch(
                     [
                         part.column(0).take(pa.array(own)),
+                        part.column(1).take(pa.array(own)),
                         pa.array(rolling.of(p, p + window, 0).view(np.int64)),
                         pa.array(rolling.of(p, p + window, 1).view(np.int64)),
                         pa.array(local.astype(np.int32)),
                     ],
-                    names=["doc", "a", "b", "first"],
+                    names=["doc", "tag", "a", "b", "first"],
                 )
 
     return run
 
 
-def repeated_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS
-) -> DataFrame:
-    """(doc, spans): per document the windows that start in a document with a smaller id.
+def repeated_windows(texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, tag, spans): per row of `tagged` texts the windows that start in a document with a smaller id.
 
     `spans` is an array of (first window, number of windows), in words of the document.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     anchors = texts.mapInArrow(_anchors(window, rounds), ANCHORS).filter("doc is not null")
     symbols = (
         anchors.groupBy("symbol")
@@ -271,24 +271,25 @@ def repeated_windows(
     symbols = staged(symbols, "symbols")
     # read three times below, and a small part of all picks: written once
     shared = staged(anchors.join(symbols, "symbol"), "shared-symbols")
-    settled = shared.filter("not mixed and doc > least").select("doc", "first", "windows")
-    mixed = shared.filter("mixed").select("doc", "symbol", "block", "first", "windows")
+    settled = shared.filter("not mixed and doc > least").select("doc", "tag", "first", "windows")
+    mixed = shared.filter("mixed").select("doc", "tag", "symbol", "block", "first", "windows")
     classes = staged(mixed.groupBy("symbol", "block").agg(F.min("doc").alias("least")), "classes")
     placed = mixed.join(classes, ["symbol", "block"])
-    copied = placed.filter("doc > least").select("doc", "first", "windows")
+    copied = placed.filter("doc > least").select("doc", "tag", "first", "windows")
     listed = (
         placed.filter("doc = least")
-        .groupBy("doc")
+        .groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     )
-    windows = texts.join(listed, "doc", "left").mapInArrow(_windows(window), WINDOWS)
+    windows = texts.join(listed, ["doc", "tag"], "left").select("doc", "tag", "text", "spans")
+    windows = windows.mapInArrow(_windows(window), WINDOWS)
     owners = windows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     later = windows.join(owners.filter("least < most").drop("most"), ["a", "b"]).filter("doc > least")
-    single = later.select("doc", "first", F.lit(1).alias("windows"))
+    single = later.select("doc", "tag", "first", F.lit(1).alias("windows"))
     return (
         settled.unionByName(copied)
         .unionByName(single)
-        .groupBy("doc")
+        .groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     )
 
@@ -336,6 +337,7 @@ def trim_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS
 ) -> DataFrame:
     """One row per input row: doc, n_words, n_removed and the kept words joined by one space."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_windows(docs, id_col, text_col, window, rounds)
-    return texts.join(spans, "doc", "left").mapInArrow(_trim(window), TRIMMED)
+    texts = tagged(docs, id_col, text_col)
+    spans = repeated_windows(texts, window, rounds)
+    whole = texts.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans")
+    return whole.mapInArrow(_trim(window), TRIMMED)

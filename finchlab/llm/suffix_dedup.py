@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finchlab.llm.common import staged
+from finchlab.llm.common import staged, tagged
 from finchlab.llm.words import column_bytes, mix, pieces, stream
 
 WINDOW = 100
@@ -45,6 +45,7 @@ TRIGGER = 24
 CROWD = 4096
 
 _CHUNK = 1 << 18
+_PIECE = 1 << 20
 _PLACE_BITS = np.uint64(20)
 _ODD = stream(16, 41) | np.uint64(1)
 _CODE = stream(512, 42).reshape(2, 256)
@@ -158,7 +159,7 @@ def _entries(window: int, trigger: int, block: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 data, marks = column_bytes(part.column(2))
                 for row, key, prints, first, count, _ in parse(data, marks, window, trigger, block):
                     columns = [pa.array(key.view(np.int64))]
@@ -182,7 +183,7 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 data, marks = column_bytes(part.column(2))
                 listed = part.column(3)
                 row = np.repeat(np.arange(part.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
@@ -342,7 +343,7 @@ TRIMMED = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept bi
 def _trim(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 data, marks = column_bytes(part.column(1))
                 gone = np.zeros(len(data) + 1, dtype=np.int32)
                 back = np.zeros(len(data) + 1, dtype=np.int32)
@@ -380,15 +381,6 @@ def _trim(window: int):
     return run
 
 
-def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tag, text); `tag` tells rows of one id apart by a hash of their text, and is 0 elsewhere."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    ids = texts.filter("doc is not null").groupBy("doc").agg(F.count("*").alias("n"))
-    ids = staged(ids.filter("n > 1").select("doc", F.lit(True).alias("again")), "repeated-ids")
-    tag = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")).alias("tag")
-    return texts.join(ids, "doc", "left").select("doc", tag, "text")
-
-
 def window_marks(texts: DataFrame, window: int = WINDOW, trigger: int = TRIGGER, crowd: int = CROWD) -> DataFrame:
     """(doc, tag, marks) of texts with repeated triggers.
 
@@ -433,7 +425,7 @@ def trim_repeats(
     window: int = WINDOW, trigger: int = TRIGGER, crowd: int = CROWD,
 ) -> DataFrame:
     """One row per input row: doc, n_bytes, n_removed, n_spans and the bytes that stay (`kept`)."""
-    texts = _tagged(docs, id_col, text_col)
+    texts = tagged(docs, id_col, text_col)
     marks = window_marks(texts, window, trigger, crowd)
     whole = texts.join(marks, ["doc", "tag"], "left").select("doc", "text", "marks")
     return whole.mapInArrow(_trim(window), TRIMMED)
