@@ -275,9 +275,11 @@ def near_groups(
     filled = signed.filter("n_shingles > 0 and doc is not null")
     folds = filled.groupBy("n_shingles", "a", "b").agg(F.min("doc").alias("lead"), F.max("doc").alias("most"))
     folds = staged(folds.filter("lead < most").drop("most"), "folds")
-    members = filled.join(folds, ["n_shingles", "a", "b"]).select("doc", "lead", F.col("n_shingles").alias("n"))
+    same = ["n_shingles", "a", "b"]
+    members = filled.join(folds, same).select("doc", "lead", F.col("n_shingles").alias("n"))
     members = staged(members, "copies")
-    leads = filled.join(members.filter("doc > lead").select("doc").distinct(), "doc", "left_anti")
+    # a row goes with its own set: other rows of its id may hold other texts
+    leads = filled.join(folds, same, "left").filter("lead is null or doc = lead")
 
     # buckets
     banded = leads.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
