@@ -40,7 +40,7 @@ def rates(
     docs: DataFrame, source_col: str, weights: Mapping[str, float] | None, temperature: float
 ) -> DataFrame:
     """(source, size, rate): one row per source; the rates give the input's size in the mean."""
-    sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("_size"))
+    sizes = docs.select(F.col(source_col).alias("_source")).groupBy("_source").agg(F.count("*").alias("_size"))
     if weights is None:
         weight = F.pow(F.col("_size").cast("double"), F.lit(float(temperature)))
     else:
@@ -83,15 +83,21 @@ def replicated(
     plan = plan.select("_source", "_parts", _thresholds(F.col("_rate") / F.col("_parts")).alias("_cdf"))
     # one row per source, written first: its size is then known and decides how it is joined
     plan = staged(plan, "rates")
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]
-    joined = docs.select(*names, F.col(source_col).alias("_s")).join(plan, F.col("_s").eqNullSafe(F.col("_source")))
+    # the row as one value: none of its columns can clash with the ones made here
+    names = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(0)
+    rows = docs.select(row.alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(source_col).alias("_s"))
+    joined = rows.join(plan, F.col("_s").eqNullSafe(F.col("_source")))
+    key = F.coalesce("_id", F.lit("null"))
 
     def drawn(total: Column, part: Column) -> Column:
-        u = uniform(F.concat_ws("#", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), part), seed, "count")
+        u = uniform(F.concat_ws("#", key, part), seed, "count")
         return total + F.size(F.filter("_cdf", lambda c: c <= u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), drawn)
-    counted = joined.select(*names, copies.alias("_copies")).filter("_copies > 0")
-    repeated = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "copy", F.lit(f"mix|{seed}")))
-    return repeated.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    counted = joined.select("_row", "_id", copies.alias("_copies")).filter("_copies > 0")
+    repeated = counted.select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    repeated = repeated.withColumn("_key", F.md5(F.concat_ws("|", key, "_copy", F.lit(f"mix|{seed}"))))
+    dealt = repeated.repartition("_key").sortWithinPartitions("_key")
+    own = [F.col("_row").getField(c).alias(c) for c in names]
+    return dealt.select(*own, F.col("_copy").alias("copy"), F.col("_key").alias("mix_key"))

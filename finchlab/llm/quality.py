@@ -310,9 +310,11 @@ def judged(
     }
     # as the one row of a generator: a filter on the result is then not computed below it, text by text anew
     described = F.explode_outer(F.array(_described(text_col, histograms, repeats))).alias("_q")
-    rows = docs.select("*", described).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in (*counts, "kept")],
-        *[value.alias(name) for name, value in counts.items()],
-    )
+    # the row as one value: none of its columns can clash with the ones made here
+    made = [name for name in counts if name not in ("_class_limit", "_word_limit")]
+    names = [c for c in docs.columns if c not in (*made, "kept")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    rows = docs.select(row, described).select("_row", *[value.alias(name) for name, value in counts.items()])
     fine = (F.col("class_distance") <= F.col("_class_limit")) & (F.col("word_distance") <= F.col("_word_limit"))
-    return rows.withColumn("kept", ~F.col("base_failed") & fine).drop("_class_limit", "_word_limit")
+    own = [F.col("_row").getField(c).alias(c) for c in names]
+    return rows.select(*own, *made, (~F.col("base_failed") & fine).alias("kept"))

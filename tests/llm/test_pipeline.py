@@ -147,5 +147,19 @@ def test_stages_keep_their_columns(spark, docs, nothing):
 
 def test_every_operator_is_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and "pipeline" not in oracle_sql()
+
+
+def test_columns_of_any_name(docs):
+    """Rules and mixing keep extra columns that have the names used inside."""
+    names = ["_q", "_s", "_source", "_cdf", "_parts", "_copies", "_copy", "_key", "_row", "_id", "_class_limit", "a.b"]
+    wide = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for plain, result in (
+        (quality.judged(docs), quality.judged(wide)),
+        (mixing.replicated(docs), mixing.replicated(wide)),
+    ):
+        own = [f"`{n}`" for n in names]
+        assert set(names) <= set(result.columns)
+        assert {tuple(r) for r in result.select(*own).collect()} == {tuple(range(len(names)))}
+        assert sorted(map(str, result.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
