@@ -22,10 +22,22 @@ def test_exact_groups(docs):
     assert got == want
 
 
-def test_exact_groups_with_one_slot(docs):
-    assert sorted(map(str, exact_dedup.exact_groups(docs, slots=1).collect())) == sorted(
-        map(str, exact_dedup.exact_groups(docs).collect())
-    )
+def test_prefixes_of_any_length_give_the_same_groups(docs):
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    for prefix in (0, 1, 10_000):
+        assert sorted(map(str, exact_dedup.exact_groups(docs, prefix=prefix).collect())) == want
+
+
+def test_unique_lengths_and_prefixes_are_not_hashed(spark, docs, monkeypatch):
+    """Only rows that share length and prefix get a full hash."""
+    tables = {}
+    plain = exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, name: tables.setdefault(name, plain(df, name)))
+    exact_dedup.exact_groups(docs).count()
+    norm = [SPACE.sub(" ", r[1] or "") for r in awkward()]
+    pairs = Counter((len(t), t[:64]) for t in norm)
+    hashed = tables["hashed-texts"].filter("_key is not null").count()
+    assert hashed == sum(n for n in pairs.values() if n > 1) < len(norm)
 
 
 def test_drop_copies_keeps_all_columns_and_one_row(docs):
@@ -179,3 +191,28 @@ def test_trim_many_shared_passages(spark):
     ]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     assert sorted(trimmed(docs), key=str) == sorted(trimmed_truth(rows), key=str)
+
+
+def test_near_groups_of_ids_with_several_texts(spark):
+    """An id has the links of each of its rows, one that is folded into a copy included."""
+    base, other = prose(50, 200), prose(51, 200)
+    close = [*other[:190], *prose(52, 10)]
+    texts = [(1, base), (3, base), (3, other), (2, close), (4, prose(53, 80)), (4, prose(54, 80)), (9, prose(54, 80))]
+    rows = [row(i, " ".join(t)) for i, t in texts]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 9: 4}
+    for some in (rows, rows[::-1]):
+        got = near_dedup.near_groups(spark.createDataFrame(some, SCHEMA).repartition(3)).collect()
+        assert len(got) == len(rows)
+        assert {r.doc: r.component_id for r in got} == want
+
+
+def test_trim_ids_with_several_texts(spark):
+    long, other = prose(60, 300), prose(61, 120)
+    texts = [(1, long), (5, long), (5, ["short", "text", "only"]), (5, other), (7, other), (7, long[:90] + other[:60])]
+    rows = [row(i, " ".join(t)) for i, t in texts]
+    want = sorted(trimmed_truth(rows), key=str)
+    assert sorted(r[2] for r in want) == [0, 0, 0, 120, 150, 300]
+    for some in (rows, rows[::-1]):
+        for parts in (1, 3):
+            docs = spark.createDataFrame(some, SCHEMA).repartition(parts)
+            assert sorted(trimmed(docs), key=str) == want
