@@ -1,31 +1,22 @@
-"""Classifiers, comparison, grid search, cross-validation and scoring."""
+"""Classifiers, comparison and scoring. Search and cross-validation are in `selection`."""
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finchlab.operators.metrics import comparison
-from finchlab.operators.sampling import assign_folds
 from finchlab.plans.adaboost import AdaBoost
+from finchlab.plans.boosting import BoostedTrees
 from finchlab.plans.features import PostFeatures
+from finchlab.plans.forests import SEED, HistogramForest, Setting
+from finchlab.plans.trees import MAX_DEPTH
 from finchlab.plans.vectors import FittedVectors
-from finchlab.session import sized, stage_table
 from finchlab.sources.readers import single_post
 
-SEED = 123
-MAX_TREE_DEPTH = 30  # the deepest tree MLlib grows; stands for "no limit"
-
 
 def logistic_regression(rows: int, strength: float = 1.0) -> LogisticRegression:
     """L2 regression; `strength` is the inverse regularisation over a sum of losses."""
@@ -39,7 +30,7 @@ def logistic_regression(rows: int, strength: float = 1.0) -> LogisticRegression:
 
 def decision_tree(depth: int | None = None) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(
-        labelCol="target", maxDepth=MAX_TREE_DEPTH if depth is None else depth, seed=SEED
+        labelCol="target", maxDepth=MAX_DEPTH if depth is None else depth, seed=SEED
     )
 
 
@@ -50,25 +41,20 @@ def random_forest(
         labelCol="target",
         numTrees=trees,
         impurity=impurity,
-        maxDepth=MAX_TREE_DEPTH if depth is None else depth,
+        maxDepth=MAX_DEPTH if depth is None else depth,
         minInstancesPerNode=leaf,
         featureSubsetStrategy="sqrt",
         seed=SEED,
     )
 
 
-# fixed values: the tuned forests as (trees, impurity, depth, leaf)
-TUNED_FORESTS = [
-    (100, "gini", 6, 1),
-    (50, "entropy", 5, 3),
-    (10, "gini", 5, 1),
-]
+def histogram_forest(setting: Setting, key: str = "post_id") -> HistogramForest:
+    """A forest or tree with all of its settings, grown from histograms."""
+    return HistogramForest.of(setting, key)
 
 
-def boosted_trees(rounds: int = 100, depth: int = 3, step: float = 0.1) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED
-    )
+def boosted_trees(rounds: int = 100, depth: int = 3, step: float = 0.1, key: str = "post_id") -> BoostedTrees:
+    return BoostedTrees(keyCol=key, rounds=rounds, depth=depth, step=step)
 
 
 def default_estimators(rows: int) -> dict[str, Estimator]:
@@ -105,101 +91,6 @@ def bake_off(
     return fitted, comparison(scored, "target", "prediction")
 
 
-def recall_evaluator() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(
-        labelCol="target", metricName="recallByLabel", metricLabel=1.0
-    )
-
-
-# fixed values: the searched forest parameters
-FOREST_GRID = {
-    "numTrees": [10, 30, 50],
-    "impurity": ["entropy", "gini"],
-    "maxDepth": [4, 5, 6],
-    "minInstancesPerNode": [1, 3, 5, 10],
-}
-
-
-def _folded(train: DataFrame, folds: int, key: str) -> DataFrame:
-    """Stratified folds as a written table: every fold's fit reads it again."""
-    columns = [key, "target", "features"]
-    folded = assign_folds(train.select(*columns), folds, key, SEED, "target")
-    return sized(stage_table(folded, "folds"))
-
-
-def grid_search(
-    train: DataFrame,
-    key: str,
-    estimator: Estimator | None = None,
-    grid: dict[str, list] = FOREST_GRID,
-    folds: int = 3,
-    parallelism: int = 4,
-) -> CrossValidatorModel:
-    """Stratified k-fold search by recall; the best model is refitted on all of `train`."""
-    estimator = estimator or random_forest()
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder.addGrid(estimator.getParam(name), values)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=builder.build(),
-        evaluator=recall_evaluator(),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        collectSubModels=True,
-        seed=SEED,
-    )
-    return search.fit(_folded(train, folds, key))
-
-
-def grid_results(found: CrossValidatorModel, spark: SparkSession) -> DataFrame:
-    """(combination, parameters, mean_recall, std_recall) of a search."""
-    rows = [
-        (
-            i,
-            ", ".join(f"{p.name}={v}" for p, v in params.items()),
-            float(found.avgMetrics[i]),
-            float(found.stdMetrics[i]),
-        )
-        for i, params in enumerate(found.getEstimatorParamMaps())
-    ]
-    return spark.createDataFrame(
-        rows, "combination int, parameters string, mean_recall double, std_recall double"
-    )
-
-
-def train_recalls(found: CrossValidatorModel, train: DataFrame, key: str) -> list[list[float]]:
-    """Recall of every fold's model on the rows it was trained on, per combination."""
-    folds = found.getNumFolds()
-    folded = _folded(train, folds, key)
-    judge = recall_evaluator()
-    return [
-        [
-            judge.evaluate(found.subModels[f][c].transform(folded.filter(F.col("fold") != f)))
-            for f in range(folds)
-        ]
-        for c in range(len(found.getEstimatorParamMaps()))
-    ]
-
-
-def cross_validated_recall(
-    train: DataFrame, key: str, estimator: Estimator, folds: int = 10, parallelism: int = 4
-) -> float:
-    """Mean recall over stratified folds."""
-    folded = _folded(train, folds, key)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=[{}],
-        evaluator=recall_evaluator(),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    return float(search.fit(folded).avgMetrics[0])
-
-
 def _named_values(train: DataFrame, names: list[str], values, column: str) -> DataFrame:
     rows = [(i, name, float(v)) for i, (name, v) in enumerate(zip(names, values))]
     return train.sparkSession.createDataFrame(rows, f"idx int, feature string, {column} double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +18,10 @@ from finchlab.operators import filters, knn, metrics, sampling
 from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import first_per_key
-from finchlab.plans import corpus, models, reports
+from finchlab.plans import adaboost as boosted_stumps
+from finchlab.plans import corpus, forests, models, reports, selection
 from finchlab.plans.adaboost import AdaBoost
+from finchlab.plans.binned import fit_cuts, sparse_rows
 from finchlab.plans.features import model_columns, post_features, with_clean_text
 from finchlab.plans.vectors import (
     BLOCKS,
@@ -843,7 +845,11 @@ def _model_query(name: str, estimator_of) -> None:
 _model_query("logreg", lambda train: models.logistic_regression(train.count()))
 _model_query("dtree", lambda train: models.decision_tree(5))
 _model_query("rforest", lambda train: models.random_forest(depth=6))
-_model_query("rforest_tuned", lambda train: models.random_forest(*models.TUNED_FORESTS[1]))
+_model_query("dtree_unlimited", lambda train: models.histogram_forest(forests.decision_tree()))
+_model_query("rforest_untuned", lambda train: models.histogram_forest(forests.Setting()))
+_model_query("rforest_tuned_1", lambda train: models.histogram_forest(forests.TUNED_FORESTS[0]))
+_model_query("rforest_tuned", lambda train: models.histogram_forest(forests.TUNED_FORESTS[1]))
+_model_query("rforest_tuned_3", lambda train: models.histogram_forest(forests.TUNED_FORESTS[2]))
 _model_query("gbt", lambda train: models.boosted_trees())
 _model_query("adaboost", lambda train: AdaBoost())
 _model_query("adaboost_by_class", lambda train: AdaBoost(algorithm="SAMME"))
@@ -894,23 +900,114 @@ def best_model(spark, sf):
     return metrics.best_by_recall(table, "position")
 
 
+_folds: dict[tuple, selection.Folded] = {}
+
+
+def _folded(spark, sf, folds):
+    key = (spark.sparkContext.applicationId, sf, folds)
+    if key not in _folds:
+        _, train, _, _ = _split_features(spark, sf)
+        _folds[key] = selection.folded(train, "post_id", folds)
+    return _folds[key]
+
+
 @query()
 def grid_search(spark, sf):
-    _, train, _, _ = _split_features(spark, sf)
-    return models.grid_results(models.grid_search(train, "post_id"), spark)
+    return selection.forest_search(_folded(spark, sf, 3), forests.settings_of())
+
+
+@query()
+def grid_best(spark, sf):
+    """The best forest of the grid, refitted on all training rows, on the test rows."""
+    settings = forests.settings_of()
+    best = selection.best_setting(grid_search(spark, sf), settings)
+    _, train, test, _ = _split_features(spark, sf)
+    scored = models.with_probability(models.histogram_forest(best).fit(train).transform(test))
+    return scored.select("post_id", "target", "prediction", "y_pred_proba")
 
 
 @query()
 def cv_recall(spark, sf):
-    _, train, _, _ = _split_features(spark, sf)
-    estimators = models.default_estimators(train.count()) | {
-        f"random forest, tuned {i}": models.random_forest(*tuned) for i, tuned in enumerate(models.TUNED_FORESTS, 1)
-    }
-    rows = [
-        (name, models.cross_validated_recall(train, "post_id", estimator, folds=10))
-        for name, estimator in estimators.items()
-    ]
-    return spark.createDataFrame(rows, "estimator string, mean_recall double")
+    table = selection.cross_validated(_folded(spark, sf, 10))
+    return table.select("estimator", "mean_recall")
+
+
+# vectors with a target that SQL can build: exact cuts and boosted stumps have an oracle
+_VOTE_ROUNDS = 50
+
+
+def _halves(spark, sf):
+    label = (F.col("label") >= 5).cast("int").alias("target")
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    rows = sparse_rows(table(spark, sf, "embeddings").select("vec_id", label, vector), "vec_id")
+    cuts = fit_cuts(rows, 64)
+    return rows, cuts, boosted_stumps.range_table(rows, cuts)
+
+
+_ENTRIES = (
+    "l as materialized (select vec_id, unnest(range(len(embedding))) as f, unnest(embedding)::double as value from embeddings)"
+)
+_PURITY = "(lp * lp + ln * ln) / (lp + ln) + (rp * rp + rn * rn) / (rp + rn)"
+
+
+@query(
+    f"with {_ENTRIES}, g as (select f, value, count_if(label >= 5) as p, count_if(label < 5) as n "
+    "from l join embeddings using (vec_id) group by f, value), "
+    "t as (select count_if(label >= 5)::double as p, count_if(label < 5)::double as n from embeddings), "
+    "r as (select f, value, lead(value) over (partition by f order by value) as next, "
+    "(sum(p) over (partition by f order by value))::double as lp, (sum(n) over (partition by f order by value))::double as ln from g), "
+    "c as (select f, value, (value + next) / 2 as threshold, lp, ln, t.p - lp as rp, t.n - ln as rn from r, t where next is not null) "
+    f"select f::int as feature, round(threshold, 9) as threshold, round({_PURITY}, 6) as purity, "
+    "lp as positives_left, ln as negatives_left, rp as positives_right, rn as negatives_right from c "
+    f"qualify row_number() over (partition by f order by {_PURITY} desc, value) = 1"
+)
+def best_cut_per_feature(spark, sf):
+    """The first round: all rows weigh one."""
+    sparse, cuts, ranges = _halves(spark, sf)
+    rows = boosted_stumps.weighted(sparse, cuts, [-1])
+    found = boosted_stumps.cuts_of(rows, [F.lit(1).cast("bigint")], ranges).groupBy("at").agg(F.max("cut").alias("cut"))
+    return found.select(
+        F.col("at").alias("feature"),
+        F.round("cut.threshold", 9).alias("threshold"),
+        F.round("cut.purity", 6).alias("purity"),
+        F.col("cut.lp").alias("positives_left"),
+        F.col("cut.ln").alias("negatives_left"),
+        F.col("cut.rp").alias("positives_right"),
+        F.col("cut.rn").alias("negatives_right"),
+    )
+
+
+_TINY = boosted_stumps.TINY
+
+
+@query(
+    f"with recursive {_ENTRIES}, "
+    "s as (select 0 as k, vec_id, (label >= 5)::int as y, 1.0::double as w, 0.0::double as score from embeddings "
+    "union all select k + 1, vec_id, y, w * exp(-(2 * y - 1) * h) / after, score + h from ("
+    f"with q as (select *, floor(w * {boosted_stumps.UNIT} + 0.5)::bigint as q from s where k < {_VOTE_ROUNDS}), "
+    "t as (select sum(q) filter (y = 1) as p, sum(q) filter (y = 0) as n from q), "
+    "g as (select f, value, sum(case when y = 1 then q else 0 end) as p, sum(case when y = 0 then q else 0 end) as n "
+    "from l join q using (vec_id) group by f, value), "
+    "r as (select f, value, lead(value) over (partition by f order by value) as next, "
+    "(sum(p) over (partition by f order by value))::double as lp, (sum(n) over (partition by f order by value))::double as ln from g), "
+    "c as (select f, value, (value + next) / 2 as threshold, lp, ln, t.p - lp as rp, t.n - ln as rn from r, t where next is not null), "
+    f"b as (select *, {_PURITY} as purity from c where lp + ln > 0 and rp + rn > 0 order by purity desc, f, value limit 1), "
+    f"v as (select *, 0.5 * (ln(greatest(lp / (lp + ln), {_TINY})) - ln(greatest(1 - lp / (lp + ln), {_TINY}))) as hl, "
+    f"0.5 * (ln(greatest(rp / (rp + rn), {_TINY})) - ln(greatest(1 - rp / (rp + rn), {_TINY}))) as hr from b), "
+    "a as (select *, (lp * exp(-hl) + ln * exp(hl) + rp * exp(-hr) + rn * exp(hr)) / (lp + ln + rp + rn) as after from v) "
+    "select q.k, q.vec_id, q.y, q.w, q.score, case when l.value <= a.threshold then hl else hr end as h, after "
+    "from q, a join l on l.f = a.f where l.vec_id = q.vec_id) as step) "
+    f"select vec_id, round(score, 6) as score, (score > 0)::int as prediction from s where k = {_VOTE_ROUNDS}"
+)
+def adaboost_votes(spark, sf):
+    """All rounds of boosted stumps, and the sum of their votes for every row."""
+    sparse, cuts, ranges = _halves(spark, sf)
+    rows = boosted_stumps.weighted(sparse, cuts, [-1])
+    stumps = boosted_stumps.boost(rows, ranges, rounds=_VOTE_ROUNDS)
+    scored = selection.fold_scores(sparse.withColumn("fold", F.lit(-1)), stumps, [-1])
+    return scored.select(
+        F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), (F.col("score") > 0).cast("int").alias("prediction")
+    )
 
 
 def _scorer(spark, sf):

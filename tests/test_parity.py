@@ -5,8 +5,6 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.parity import connect, difference
 
-ROWS_ONLY_SLOW = {"grid_search", "cv_recall", "best_model", "adaboost_by_class"}
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -27,7 +25,7 @@ def test_same_result(spark, con, sf, name):
     assert difference(spark, con, queries()[name], oracle_sql()[name], sf) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - ROWS_ONLY_SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_rows_only(spark, sf, name):
     frame = queries()[name](spark, sf)
     assert frame.columns
