@@ -965,15 +965,16 @@ def best_cut_per_feature(spark, sf):
     """The first round: all rows weigh one."""
     sparse, cuts, ranges = _halves(spark, sf)
     rows = boosted_stumps.weighted(sparse, cuts, [-1])
-    found = boosted_stumps.cuts_of(rows, [F.lit(1).cast("bigint")], ranges).groupBy("at").agg(F.max("cut").alias("cut"))
+    found = boosted_stumps.cuts_of(boosted_stumps.with_units(rows, 1), 1, ranges)
+    found = found.groupBy("at").agg(F.max("cut").alias("cut"))
     return found.select(
         F.col("at").alias("feature"),
         F.round("cut.threshold", 9).alias("threshold"),
-        F.round("cut.purity", 6).alias("purity"),
-        F.col("cut.lp").alias("positives_left"),
-        F.col("cut.ln").alias("negatives_left"),
-        F.col("cut.rp").alias("positives_right"),
-        F.col("cut.rn").alias("negatives_right"),
+        F.round(F.col("cut.purity") / boosted_stumps.UNIT, 6).alias("purity"),
+        (F.col("cut.lp") / boosted_stumps.UNIT).alias("positives_left"),
+        (F.col("cut.ln") / boosted_stumps.UNIT).alias("negatives_left"),
+        (F.col("cut.rp") / boosted_stumps.UNIT).alias("positives_right"),
+        (F.col("cut.rn") / boosted_stumps.UNIT).alias("negatives_right"),
     )
 
 

@@ -309,9 +309,8 @@ def test_ranges_change_nothing(folded):
     ranges = adaboost.range_table(folded.sparse, folded.cuts)
     one = binned.Cuts(np.full((WIDTH, 1), np.inf))
     whole = adaboost.weighted(folded.sparse, one, [-1])
-    unit = [F.lit(1).cast("bigint")]
-    a = adaboost.cuts_of(rows, unit, ranges).collect()
-    b = adaboost.cuts_of(whole, unit, adaboost.range_table(folded.sparse, one)).collect()
+    a = adaboost.cuts_of(adaboost.with_units(rows, 1), 1, ranges).collect()
+    b = adaboost.cuts_of(adaboost.with_units(whole, 1), 1, adaboost.range_table(folded.sparse, one)).collect()
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) > 100
 
 
