@@ -67,6 +67,26 @@ def text_of(column: str):
     return F.col(column).cast("string").alias(column)
 
 
+_dictionaries: dict[tuple, str] = {}
+
+
+def _dictionary_path(spark: SparkSession, sf: str) -> str:
+    """The corpus dictionary as a table; once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _dictionaries:
+        path = f"{checkpoint_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+        words = stage_table(_content_tokens(spark, sf).select("w"), "corpus-words")
+        write_table(_dictionary(words), path)
+        _dictionaries[key] = path
+    return _dictionaries[key]
+
+
+def lemmatised_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table with words reduced by the corpus dictionary."""
+    lemmas = spark.read.parquet(_dictionary_path(spark, sf))
+    return post_features(labelled_posts(spark, sf, heavy=True), lemmas=lemmas, keep=["post_id"])
+
+
 _staged: dict[tuple, DataFrame] = {}
 
 
@@ -74,7 +94,7 @@ def staged_features(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table, written once per session and input folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _staged:
-        features = post_features(labelled_posts(spark, sf, heavy=True), keep=["post_id"])
+        features = lemmatised_features(spark, sf)
         _staged[key] = stage_table(model_columns(features, ["post_id"]), "features")
     return _staged[key]
 
@@ -518,22 +538,9 @@ def tokens_nostop(spark, sf):
     return _content_tokens(spark, sf).select("post_id", X.joined(F.col("w")).alias("tokens"))
 
 
-_LEMMAS = f"""
- known as (select distinct unnest(w) as token from tokens),
- guesses as ({' union all '.join(
-    f"select token, {i} as rule, concat(left(token, cast(length(token) - {len(o)} as int)), '{n}') as lemma "
-    f"from known where suffix(token, '{o}') and length(token) > {len(o)}"
-    for i, (o, n) in enumerate(
-        [('ches', 'ch'), ('shes', 'sh'), ('ses', 's'), ('xes', 'x'), ('zes', 'z'), ('ies', 'y'), ('men', 'man'), ('s', '')]
-    ))}),
- lemmas as (select token, arg_min(lemma, rule) as lemma from guesses
-  where lemma in (select token from known) group by token)"""
 _LEMMATISED = (
-    f"with {duck.POSTS}, {_TOKENS}, {_LEMMAS}, e as (select post_id, unnest(w) as token, "
-    "unnest(range(1, len(w) + 1)) as i from tokens), j as (select post_id, "
-    "string_agg(coalesce(lemma, e.token), ' ' order by i) as lemmas from e left join lemmas "
-    "on e.token = lemmas.token group by post_id) "
-    "select t.post_id, coalesce(lemmas, '') as lemmas from tokens t left join j on t.post_id = j.post_id"
+    f"with {duck.POSTS}, {_TOKENS}, {duck.lemmas('tokens')} "
+    "select t.post_id, coalesce(lemmas, '') as lemmas from tokens t left join lemmatised l on t.post_id = l.post_id"
 )
 
 
@@ -602,7 +609,7 @@ def parse_dates(spark, sf):
     + " from features"
 )
 def feature_table(spark, sf):
-    features = post_features(labelled_posts(spark, sf, heavy=True), keep=["post_id"])
+    features = lemmatised_features(spark, sf)
     return features.withColumn("publish_date", F.col("publish_date").cast("string")).withColumn(
         "pct_upper", F.round("pct_upper", 6)
     )
@@ -1014,7 +1021,7 @@ def adaboost_votes(spark, sf):
 def _scorer(spark, sf):
     vectors, _, _, _ = _split_features(spark, sf)
     classifier = _model(spark, sf, "logreg", lambda train: models.logistic_regression(train.count()))
-    return models.scoring_model(vectors, classifier, keep=["post_id"])
+    return models.scoring_model(vectors, classifier, keep=["post_id"], lemmaPath=_dictionary_path(spark, sf))
 
 
 @query()

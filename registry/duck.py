@@ -72,6 +72,27 @@ def ngrams(items: str, longest: int) -> str:
     return parts[0] if longest == 1 else "list_concat(" + ", ".join(parts) + ")"
 
 
+# noun endings and what replaces them; the first that leaves a known word counts
+ENDINGS = [("ches", "ch"), ("shes", "sh"), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ies", "y"), ("men", "man"), ("s", "")]
+
+
+def lemmas(source: str) -> str:
+    """CTEs up to `lemmatised(post_id, lemmas)` over a relation (post_id, w): words reduced by the corpus dictionary."""
+    guesses = " union all ".join(
+        f"select token, {i} as rule, concat(left(token, cast(length(token) - {len(old)} as int)), '{new}') as lemma "
+        f"from known where suffix(token, '{old}') and length(token) > {len(old)}"
+        for i, (old, new) in enumerate(ENDINGS)
+    )
+    return f"""
+known as (select distinct unnest(w) as token from {source}),
+guesses as ({guesses}),
+dictionary as (select token, arg_min(lemma, rule) as lemma from guesses
+ where lemma in (select token from known) group by token),
+placed as (select post_id, unnest(w) as token, unnest(range(1, len(w) + 1)) as i from {source}),
+lemmatised as (select post_id, string_agg(coalesce(lemma, placed.token), ' ' order by i) as lemmas
+ from placed left join dictionary on placed.token = dictionary.token group by post_id)"""
+
+
 POSTS = f"posts as ({DUCK_POSTS})"
 LABELLED = (
     f"{POSTS}, labelled as (select *, case when account_category = 'RightTroll' "
@@ -85,6 +106,8 @@ parsed as (
   {found('content', P.EMOJI)} as emojis, {found('content', P.HASHTAG)} as hashtags
  from labelled),
 tokenised as (select *, {tokens('lower(clean)')} as toks from parsed),
+contents as (select post_id, {drop_words('toks', P.ENGLISH_STOP_WORDS)} as w from tokenised),
+{lemmas('contents')},
 features as (
  select post_id, author, {without('raw', P.PICTURE)} as content, publish_date, target,
   {count(found('raw', P.URL))} as urls_count,
@@ -98,10 +121,10 @@ features as (
   {count(found('raw', '[?]'))} as ques_marks_count,
   {count(found('raw', '[$]'))} as dollar_marks_count,
   {count(found('raw', P.PICTURE))} as pics_count,
-  {joined(drop_words('toks', P.ENGLISH_STOP_WORDS))} as content_tokenized_lemma_joined,
+  coalesce(lemmatised.lemmas, '') as content_tokenized_lemma_joined,
   {joined('emojis')} as emojis_joined,
   {joined('hashtags')} as hashtags_joined
- from tokenised)"""
+ from tokenised left join lemmatised using (post_id))"""
 FEATURES = _FEATURES
 
 
