@@ -103,5 +103,5 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def single_post(spark: SparkSession, text: str) -> DataFrame:
-    """One unlabelled post as a table."""
-    return spark.createDataFrame([(None, text, None, None)], schema=POSTS)
+    """One unlabelled post as a table; its key, 0, lets words be looked up in a dictionary."""
+    return spark.createDataFrame([(None, text, None, None)], schema=POSTS).withColumn("post_id", F.lit(0))

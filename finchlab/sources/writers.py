@@ -14,10 +14,10 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, timestamp_format: str = TIMESTAMP) -> None:
+def write_csv(df: DataFrame, path: str, timestamp_format: str = TIMESTAMP, mode: str = "overwrite") -> None:
     """CSV folder with header, no row index."""
     (
-        df.write.mode("overwrite")
+        df.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
         .option("timestampNTZFormat", timestamp_format)

@@ -39,8 +39,8 @@ from finchlab.plans.vectors import (
 from finchlab.schemas import FEATURE_COLUMNS, NUMERIC_FEATURES
 from finchlab.session import checkpoint_dir, sized, spread, stage_table
 from finchlab.sources.seeds import collect_by_seed
-from finchlab.sources.readers import read_posts
-from finchlab.sources.writers import write_csv, write_table
+from finchlab.sources.readers import CONTROL_ORDER, read_control, read_posts
+from finchlab.sources.writers import load_model, save_model, write_csv, write_table
 from finchlab.streaming.ingest import ingest_available, stream_files
 from finchlab.streaming.scoring import score_available
 from registry import duck
@@ -289,6 +289,41 @@ def csv_round_trip(spark, sf):
     return read_posts(spark, paths, multi_line=True).withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
+_FLAT = "translate(content, chr(10) || chr(13), '  ')"
+
+
+@query(
+    f"with {duck.LABELLED}, f as (select author, {_FLAT} as content, publish_date, post_id from labelled), "
+    "r as (select *, row_number() over (partition by content order by "
+    "author = (select min(author) from f) desc, publish_date, post_id) as rn from f) "
+    "select author, content, cast(publish_date as varchar) as publish_date, 0 as target from r where rn = 1"
+)
+def control_corpus(spark, sf):
+    """A folder of CSV files, read in splits; the copies in one named file win, then the order of the files."""
+    folder = f"{checkpoint_dir(spark)}/control-{uuid.uuid4().hex}"
+    rows = labelled_posts(spark, sf)
+    crawled = rows.select(
+        "post_id",
+        F.col("author").alias("username"),
+        F.translate("content", "\n\r", "  ").alias("tweet"),
+        F.date_format("publish_date", "yyyy-MM-dd").alias("date"),
+        F.date_format("publish_date", "HH:mm:ss").alias("time"),
+    )
+    least = rows.agg(F.min("author").alias("author")).scalar()
+    order = ["date", "time", "post_id"]
+    # the crawl of one account is one file
+    write_csv(crawled.filter(F.col("username") == least).coalesce(1).sortWithinPartitions(*order), folder)
+    (first,) = [
+        r["path"].rsplit("/", 1)[1]
+        for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()
+    ]
+    others = crawled.filter(F.col("username") != least).orderBy(*order)
+    write_csv(others, folder, mode="append")
+    posts_ = stage_table(read_control(spark, folder, first), "control")
+    out = corpus.control_posts(posts_, CONTROL_ORDER)
+    return out.withColumn("publish_date", F.col("publish_date").cast("string"))
+
+
 _TRIM = (
     "trimmed as (select post_id, author, content, publish_date, target from (select *, row_number() over "
     "(partition by content order by publish_date, post_id) as rn from labelled where retweet = 0 "
@@ -715,6 +750,58 @@ def feature_long(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+_PARTS = (
+    "numbered as (select post_id, target, row_number() over (order by " + duck.hash_order("post_id") + ") as r, "
+    "count(*) over () as n from features), "
+    "sized as (select *, ceil(n * cast(0.1 as double)) as t from numbered), "
+    "dealt as (select post_id, target, r, case when r <= t then 'test' "
+    "when r <= t + ceil((n - t) * cast(0.2 as double)) then 'validation' else 'train' end as split from sized), "
+    "positives as (select *, row_number() over (partition by split order by r) as k from dealt where target = 1), "
+    "negatives as (select split, round_even(count(*) * 0.1, 0) as wanted from dealt where target = 0 group by split), "
+    "parts as (select post_id, split from dealt where split = 'train' or target = 0 union all "
+    "select post_id, split from positives join negatives using (split) where split <> 'train' and k <= wanted)"
+)
+
+
+def _of_train(c: str) -> str:
+    inside = f"from features join parts using (post_id) where split = 'train'"
+    return (
+        f"case when (select stddev_pop({c}) {inside}) = 0 then 0.0 "
+        f"else ({c} - (select avg({c}) {inside})) / (select stddev_pop({c}) {inside}) end"
+    )
+
+
+@query(
+    f"with {duck.FEATURES}, {_PARTS}, {duck.terms(BLOCKS)}, "
+    + duck.vocabulary(BLOCKS).replace(
+        "count(*) as df from tf group by all",
+        "count(*) as df from tf join parts using (post_id) where split = 'train' group by all",
+    )
+    + ", "
+    + duck.TFIDF.replace("from features", "from parts where split = 'train'")
+    + ", scaled as (select post_id, "
+    + ", ".join(f"{_of_train(c)} as {c}" for c in NUMERIC_FEATURES)
+    + " from features), long as (select post_id, block, term, weight from tfidf union all "
+    "select post_id, 'numerics', name, value from (unpivot scaled on "
+    + ", ".join(NUMERIC_FEATURES)
+    + " into name name value value) where value <> 0) "
+    "select post_id, split, block, term, round(weight, 6) as weight from long join parts using (post_id)"
+)
+def held_out_long(spark, sf):
+    """Fitted on train; train, test and validation transformed, the last two with their classes rebalanced."""
+    train, *others = sampling.three_way_split(staged_features(spark, sf), 0.1, 0.2, "post_id", SEED)
+    parts = {"train": train} | {
+        name: sampling.rebalance(part, 0.1, "post_id", SEED)
+        for name, part in zip(("test", "validation"), others, strict=True)
+    }
+    fitted = fit_vectors(train)
+    longs = [
+        long_form(fitted.transform(part), "post_id", fitted).withColumn("split", F.lit(name))
+        for name, part in parts.items()
+    ]
+    return corpus.union_all(*longs).withColumn("weight", F.round("weight", 6))
+
+
 # ---- metrics and neighbours ------------------------------------------------
 
 _PREDICTED = (
@@ -758,6 +845,50 @@ def accuracy_recall_f1(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+# fixed predictors: their comparison has an oracle
+_RULES = {
+    "long": "n_chars > 1500",
+    "poor": "quality = 0",
+    "poor or short": "quality = 0 or n_chars < 400",
+    "all": "true",
+}
+_RULE_SCORES = (
+    "with j as (select toxic as t, n_chars, quality from labels join documents using (doc_id)), p as ("
+    + " union all ".join(
+        f"select {i} as position, '{name}' as estimator, t, coalesce(({sql})::int, 0) as p from j"
+        for i, (name, sql) in enumerate(_RULES.items())
+    )
+    + "), c as (select position, estimator, count_if(t = 1 and p = 1) as tp, count_if(t = 0 and p = 1) as fp, "
+    "count_if(t = 1 and p = 0) as fn from p group by all), rules as (select position, estimator, "
+    "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1_score, "
+    "round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall_score from c)"
+)
+
+
+def _rule_scores(spark, sf):
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    scored = {
+        name: joined.select(
+            F.col("toxic").alias("target"), F.coalesce(F.expr(rule).cast("int"), F.lit(0)).alias("prediction")
+        )
+        for name, rule in _RULES.items()
+    }
+    out = metrics.comparison(scored, "target", "prediction")
+    return out.select("estimator", *[F.round(c, 6).alias(c) for c in ("f1_score", "recall_score")])
+
+
+@query(f"{_RULE_SCORES} select estimator, f1_score, recall_score from rules")
+def rule_comparison(spark, sf):
+    return _rule_scores(spark, sf)
+
+
+@query(f"{_RULE_SCORES} select estimator, f1_score, recall_score from rules order by recall_score desc, position limit 1")
+def best_rule(spark, sf):
+    position = F.array_position(F.lit(list(_RULES)), F.col("estimator"))
+    best = metrics.best_by_recall(_rule_scores(spark, sf).withColumn("position", position), "position")
+    return best.drop("position")
+
+
 _NEIGHBOURS = """
 pairs as (
  select a.vec_id as query_id, a.label as truth, b.vec_id as train_id, b.label as label,
@@ -1030,6 +1161,24 @@ def score_posts(spark, sf):
     return scored.select("post_id", "prediction", "y_pred_proba")
 
 
+@query()
+def saved_model_scores(spark, sf):
+    """The whole scoring pipeline, saved, loaded and applied to all posts."""
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(_scorer(spark, sf), path)
+    scored = models.score(load_model(path), labelled_posts(spark, sf, heavy=True))
+    return scored.select("post_id", "prediction", "y_pred_proba")
+
+
+@query()
+def newest_post_score(spark, sf):
+    """One text scored on its own: that of the newest post."""
+    model = _scorer(spark, sf)
+    newest = posts(spark, sf).orderBy(F.col("publish_date").desc(), "post_id").first()
+    label, share = models.score_text(model, spark, newest["content"])
+    return spark.createDataFrame([(newest["post_id"], label, share)], "post_id long, prediction int, y_pred_proba double")
+
+
 @query()
 def knn_classifier(spark, sf):
     """Neighbours in the model matrix: test posts against train posts."""
