@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from finchlab.functions import text as X
@@ -80,6 +80,31 @@ def trim_step_counts(
     return totals.select(F.inline(rows))
 
 
+def trim_posts_counted(
+    posts: DataFrame, order: list[str], path: str, language: str = "English", keep: list[str] = ()
+) -> DataFrame:
+    """Write `trim_posts` to `path`; the counts of `trim_step_counts` are taken by that one job.
+
+    What is observed on the way are five numbers, whatever the input.
+    """
+    seen, left = Observation("seen"), Observation("left")
+    flagged = F.col("retweet") == 0
+    original = flagged & ~F.col("content").startswith("RT ")
+    watched = posts.observe(
+        seen,
+        F.count(F.lit(1)).alias("input"),
+        F.count_if(flagged).alias("retweet_flag"),
+        F.count_if(original).alias("retweet_prefix"),
+        F.count_if(original & (F.col("language") == language)).alias("language"),
+    )
+    trimmed = trim_posts(watched, order, language, keep).observe(left, F.count(F.lit(1)).alias("distinct_text"))
+    trimmed.write.parquet(path)
+    counts = seen.get | left.get
+    steps = ["input", "retweet_flag", "retweet_prefix", "language", "distinct_text"]
+    rows = [(i, s, counts[s], counts[steps[max(i - 1, 0)]] - counts[s]) for i, s in enumerate(steps)]
+    return posts.sparkSession.createDataFrame(rows, "step int, stage string, rows long, filtered_out long")
+
+
 def control_posts(raw: DataFrame, order: list[str], keep: list[str] = ()) -> DataFrame:
     """Crawled control posts: first copy of each text, target 0, unified columns."""
     first = first_per_key(raw, ["tweet"], order)

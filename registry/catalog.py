@@ -19,7 +19,7 @@ from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import first_per_key
 from finchlab.plans import adaboost as boosted_stumps
-from finchlab.plans import corpus, forests, models, reports, selection
+from finchlab.plans import corpus, forests, models, reports, selection, sketches
 from finchlab.plans.adaboost import AdaBoost
 from finchlab.plans.binned import fit_cuts, sparse_rows
 from finchlab.plans.features import model_columns, post_features, with_clean_text
@@ -41,6 +41,8 @@ from finchlab.session import checkpoint_dir, sized, spread, stage_table
 from finchlab.sources.seeds import collect_by_seed
 from finchlab.sources.readers import CONTROL_ORDER, read_control, read_posts
 from finchlab.sources.writers import load_model, save_model, write_csv, write_table
+from finchlab.streaming.collect import collect_available
+from finchlab.streaming.firsts import first_copies_available
 from finchlab.streaming.ingest import ingest_available, stream_files
 from finchlab.streaming.scoring import score_available
 from registry import duck
@@ -345,7 +347,7 @@ def trim_posts(spark, sf):
     return _trimmed(spark, sf, 1).withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
-@query(
+_TRIM_STEPS = (
     f"with {duck.POSTS}, s as (select content, retweet = 0 as a, retweet = 0 and content not like 'RT %' as b, "
     "retweet = 0 and content not like 'RT %' and language = 'English' as c from posts), "
     "n as (select count(*) as n0, count_if(a) as n1, count_if(b) as n2, count_if(c) as n3, "
@@ -355,10 +357,50 @@ def trim_posts(spark, sf):
     "select 1, 'retweet_flag', n1, n0 - n1 from n union all select 2, 'retweet_prefix', n2, n1 - n2 from n "
     "union all select 3, 'language', n3, n2 - n3 from n union all select 4, 'distinct_text', n4, n3 - n4 from n)"
 )
+
+
+@query(_TRIM_STEPS)
 def trim_step_counts(spark, sf):
     return corpus.trim_step_counts(posts(spark, sf))
 
 
+@query(_TRIM_STEPS)
+def trim_steps_written(spark, sf):
+    """The same counts, taken by the job that writes the trimmed posts."""
+    path = f"{checkpoint_dir(spark)}/trimmed-{uuid.uuid4().hex}"
+    return corpus.trim_posts_counted(labelled_posts(spark, sf), ["publish_date", "post_id"], path)
+
+
+_MONTHS = (
+    f"with {duck.POSTS}, m as (select *, strftime(publish_date, '%Y-%m') as month from posts), "
+    f"t as (select month, unnest({duck.found('content', P.HASHTAG)}) as hashtag from m), "
+    "c as (select month, hashtag, count(*) as n from t group by all), "
+    "k as (select month, max(n) as most from c group by month) "
+)
+
+
+@query(
+    f"{_MONTHS} select month, count(*) as posts, true as authors_within, true as texts_within, "
+    "any_value(most) as most_frequent from m left join k using (month) group by month"
+)
+def monthly_sketches(spark, sf):
+    """Months merged from days: estimates lie within four standard errors of the exact counts."""
+    rows = posts(spark, sf, heavy=True)
+    days = stage_table(sketches.daily_sketches(rows), "sketches")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    merged = sketches.in_range(days, [month], top=1)
+    exact = rows.groupBy(F.date_format("publish_date", "yyyy-MM").alias("month")).agg(
+        F.count_distinct("author").alias("exact_authors"), F.count_distinct(F.sha2("content", 256)).alias("exact_texts")
+    )
+
+    def within(name: str):
+        off = F.abs(F.col(name) - F.col(f"exact_{name}"))
+        return (off <= 4 * sketches.relative_error() * F.col(f"exact_{name}") + 0.5).alias(f"{name}_within")
+
+    most = F.try_element_at("hashtags", F.lit(1))["count"].alias("most_frequent")
+    return merged.join(exact, "month").select("month", "posts", within("authors"), within("texts"), most)
+
+
 @query("select doc_id, source from (select *, row_number() over (partition by text order by doc_id) as rn "
        "from documents) where rn = 1")
 def dedup_first(spark, sf):
@@ -366,6 +408,47 @@ def dedup_first(spark, sf):
     return first_per_key(documents, ["text"], ["doc_id"]).select("doc_id", "source")
 
 
+def _landings(rows: DataFrame, key: str, parts: int = 3) -> list[DataFrame]:
+    """The rows in ranges of the key, as they would land one after another."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    place = F.least(F.floor((F.col(key) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    return [rows.filter(place == i) for i in range(parts)]
+
+
+@query("select doc_id, source from (select *, row_number() over (partition by text order by doc_id) as rn "
+       "from documents) where rn = 1")
+def first_copies_streamed(spark, sf):
+    """First copies of texts that land in three runs, by an index of digests."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", "text")
+    folder = f"{checkpoint_dir(spark)}/firsts-{uuid.uuid4().hex}"
+    for part in _landings(rows, "doc_id"):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        arrived = stream_files(spark, f"{folder}/landing", rows.schema, files_per_trigger=10_000)
+        target = first_copies_available(arrived, folder, "text", ["doc_id"])
+    return spark.read.parquet(target).select("doc_id", "source")
+
+
+_CAPS = [("#topic0", 7), ("#Topic1", 40), ("#topic2", 10**6), ("#nosuchtag", 5)]
+
+
+@query(
+    f"with {duck.POSTS}, t as (select distinct post_id, lower(unnest({duck.found('content', P.HASHTAG)})) as tag from posts), "
+    "s(seed, cap) as (values " + ", ".join(f"('{tag}', {cap})" for tag, cap in _CAPS) + "), "
+    "h as (select seed, cap, post_id, row_number() over (partition by seed order by post_id) as r "
+    "from t join s on lower(seed) = tag) select seed, post_id from h where r <= cap"
+)
+def collected_in_runs(spark, sf):
+    """So many posts per seed, from three runs over what has landed; each run goes on where the last one stopped."""
+    rows = posts(spark, sf).select("post_id", "author", "content", "publish_date")
+    seeds = spark.createDataFrame(_CAPS, "seed string, cap long")
+    folder = f"{checkpoint_dir(spark)}/collected-{uuid.uuid4().hex}"
+    for part in _landings(rows, "post_id"):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        arrived = stream_files(spark, f"{folder}/landing", rows.schema, files_per_trigger=10_000)
+        target = collect_available(arrived, seeds, folder)
+    return spark.read.parquet(target).select("seed", "post_id")
+
+
 @query(f"select doc_id, source from documents order by {duck.hash_order('doc_id')} "
        "limit (select cast(floor(count(*) / 4) as bigint) from documents)")
 def exact_sample(spark, sf):
