@@ -277,6 +277,14 @@ def word_limit(n_words: Column, rules: Rules = RULES) -> Column:
     return rules.max_word_distance + rules.word_slack / n_words
 
 
+def unused(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores in front until no column has it."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def judged(
     docs: DataFrame,
     text_col: str = "text",
@@ -287,7 +295,9 @@ def judged(
     """The columns of `docs` (but for names given anew), the counts, both distances, `base_failed`, `kept`."""
     if refs is None:
         refs = references(docs, text_col, lang_col, rules)
-    q = F.col("_q")
+    # names that no column of the input has
+    own, of_class, of_word = (unused(name, docs.columns) for name in ("_q", "_class_limit", "_word_limit"))
+    q = F.col(own)
     known = list(refs.values())
     by_class = class_distance(q["classes"], known) if known else F.lit(0.0)
     by_word = word_distance(q["common"], q["n_words"], known) if known else F.lit(0.0)
@@ -303,18 +313,17 @@ def judged(
         "n_dup_lines": q["n_dup_lines"],
         "n_repeat_words": q["n_repeat_words"],
         "class_distance": F.when(long_enough, by_class).otherwise(0.0),
-        "_class_limit": F.when(long_enough, class_limit(chars, q["n_words"], by_word, rules)).otherwise(0.0),
-        "_word_limit": F.when(long_enough, word_limit(q["n_words"], rules)).otherwise(0.0),
+        of_class: F.when(long_enough, class_limit(chars, q["n_words"], by_word, rules)).otherwise(0.0),
+        of_word: F.when(long_enough, word_limit(q["n_words"], rules)).otherwise(0.0),
         "word_distance": F.when(long_enough, by_word).otherwise(0.0),
         "base_failed": base,
     }
     # as the one row of a generator: a filter on the result is then not computed below it, text by text anew
-    described = F.explode_outer(F.array(_described(text_col, histograms, repeats))).alias("_q")
-    # the row as one value: none of its columns can clash with the ones made here
-    made = [name for name in counts if name not in ("_class_limit", "_word_limit")]
-    names = [c for c in docs.columns if c not in (*made, "kept")]
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    rows = docs.select(row, described).select("_row", *[value.alias(name) for name, value in counts.items()])
-    fine = (F.col("class_distance") <= F.col("_class_limit")) & (F.col("word_distance") <= F.col("_word_limit"))
-    own = [F.col("_row").getField(c).alias(c) for c in names]
-    return rows.select(*own, *made, (~F.col("base_failed") & fine).alias("kept"))
+    described = F.explode_outer(F.array(_described(text_col, histograms, repeats))).alias(own)
+    made = [name for name in counts if name not in (of_class, of_word)]
+    rows = docs.select("*", described).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "kept")],
+        *[value.alias(name) for name, value in counts.items()],
+    )
+    fine = (F.col("class_distance") <= F.col(of_class)) & (F.col("word_distance") <= F.col(of_word))
+    return rows.withColumn("kept", ~F.col("base_failed") & fine).drop(of_class, of_word)
