@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from finchlab.functions import patterns as P
 from finchlab.functions import text as X
-from finchlab.operators import filters, knn, metrics, sampling
+from finchlab.operators import filters, knn, lsh, metrics, sampling
 from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded
 from finchlab.operators.ranking import first_per_key
@@ -1008,6 +1008,24 @@ _SWEEP = (
 )
 
 
+@query(
+    f"with {_NEIGHBOURS.format(k=10)} select count(distinct query_id) as queries, count(*) as wanted, "
+    "true as recall_of_90_percent, true as distances_exact from neighbours"
+)
+def knn_approximate(spark, sf):
+    """Neighbours by projections, measured against the exact ones."""
+    vectors = spread(table(spark, sf, "embeddings"), "vec_id")
+    near = lsh.approximate_nearest(
+        vectors, vectors, 10, key="vec_id", vector="embedding", skip_self=True, bucket_rows=64
+    )
+    near, exact = stage_table(near, "approximate"), stage_table(_neighbours(spark, sf, 10), "exact")
+    both = near.join(exact.withColumnRenamed("distance", "d").drop("rank", "label"), ["query_id", "train_id"])
+    off = both.agg(F.max(F.abs(F.col("distance") - F.col("d"))).alias("off")).scalar()
+    return lsh.recall(near, exact).select(
+        "queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_of_90_percent"), (off < 1e-9).alias("distances_exact")
+    )
+
+
 def _swept(spark, sf):
     votes = knn.votes_per_k(_neighbours(spark, sf, 35), 35)
     out = knn.sweep(votes, table(spark, sf, "embeddings"), key="vec_id")

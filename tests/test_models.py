@@ -38,11 +38,12 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 12])
-def test_neighbours_match_brute_force(spark, cells):
+@pytest.mark.parametrize("cells, inner, visits", [(1, 1, 1000), (12, 1, 40), (4, 7, 1000), (9, 30, 15)])
+def test_neighbours_match_brute_force(spark, cells, inner, visits):
     df, rows = vectors_frame(spark)
     got = knn.nearest(
-        df.repartition(5), df, 7, skip_self=True, max_cells=cells, cell_rows=5, block_bytes=2500
+        df.repartition(5), df, 7, skip_self=True, max_cells=cells, cell_rows=5, block_bytes=2500, sub_cells=inner,
+        visits=visits,
     ).collect()
     wanted = brute(rows, 7)
     by_query = {}
@@ -65,6 +66,19 @@ def test_far_cells_are_not_visited(spark):
         assert (r["distance"], r["train_id"]) == (pytest.approx(own[0]), own[1])
 
 
+def test_training_rows_are_moved_once(spark, monkeypatch):
+    """However many queries there are, blocks are copied only for `visits` queries each."""
+    df, _ = vectors_frame(spark, n=400)
+    sent = []
+    plain = knn._streamed
+    monkeypatch.setattr(knn, "_streamed", lambda k, skip: sent.append(1) or plain(k, skip))
+    near = knn.nearest(df, df.unionAll(df), 3, max_cells=8, cell_rows=20, sub_cells=4)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert sent == [1] and "FlatMapCoGroups" not in plan and "NestedLoop" not in plan
+    cells = knn._cells(df.selectExpr("id", "vector as v", "label"), 8, 4, 20)
+    assert len(cells.outer) == 8 and 8 < len(cells.count) <= 32
+
+
 def test_fewer_training_rows_than_k(spark):
     df, _ = vectors_frame(spark, n=4)
     assert knn.nearest(df, df, 10, skip_self=True).count() == 12
@@ -218,3 +232,35 @@ def test_batch_stream_and_single_post_agree_after_reload(spark, corpus, matrix,
     label, share = models.score_text(single, spark, "zinc tin iron")
     assert label == 1 and share > 0.5
     assert models.score_text(single, spark, "apple pear plum")[0] == 0
+
+
+def test_probes_cross_the_nearest_planes_first():
+    from finchlab.operators import lsh
+
+    probes = lsh.flips(5, 6)
+    assert probes[0] == () and probes[1] == (0,) and len(set(probes)) == 6
+    assert len(lsh.flips(1, 99)) == 2 and len(lsh.flips(3, 99)) == 8
+
+
+def test_approximate_neighbours_find_most_and_measure_right(spark):
+    from finchlab.operators import lsh
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12), scale=4)
+    rows = [(i, (centres[i % 30] + rng.normal(size=12)).tolist(), i % 3) for i in range(900)]
+    rows += [(1000 + i, rows[0][1], 1) for i in range(400)]  # copies of one vector
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int").repartition(4)
+    queries = df.filter("id < 200 or id = 1300")
+    near = lsh.approximate_nearest(df, queries, 6, skip_self=True, bucket_rows=40, probes=6)
+    exact = knn.nearest(df, queries, 6, skip_self=True)
+    counted = lsh.recall(near, exact).first()
+    assert counted["queries"] == 201 and counted["wanted"] == 201 * 6
+    assert counted["found"] >= 0.9 * counted["wanted"]
+    by_id = {i: v for i, v, _ in rows}
+    got = near.collect()
+    assert all(r["distance"] == pytest.approx(math.dist(by_id[r["query_id"]], by_id[r["train_id"]])) for r in got)
+    assert all(r["query_id"] != r["train_id"] for r in got)
+    # the copies: smallest ids first, none of them lost to a limit
+    assert sorted(r["train_id"] for r in got if r["query_id"] == 1300) == [0, 1000, 1001, 1002, 1003, 1004]
+    assert lsh.approximate_nearest(df.limit(0), queries, 3).count() == 0
+    assert lsh.approximate_nearest(df, queries.limit(0), 3).count() == 0
