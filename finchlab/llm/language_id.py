@@ -4,8 +4,9 @@ Texts become lower-case letters, anything else a space; each n-gram of neighbour
 characters falls into one of `FEATURES` counters by a hash. Fitting sums the counters
 per language over all training rows, in each task first. The log-probability matrix
 has one row per counter and one column per language and is broadcast: its size is the
-number of languages times `FEATURES` times four bytes, whatever the input. Scoring
-visits only the n-grams that occur, for a whole batch at a time.
+number of languages times `FEATURES` times four bytes, whatever the input. More than
+`MAX_LANGUAGES` languages are an error before any text is read, for then the column holds
+something else. Scoring visits only the n-grams that occur, for a whole batch at a time.
 
 Defined results: a text that is null or has no letter is `und` with score 0; a row
 without a language trains nothing; without any training row all texts are `und`; ties
@@ -29,6 +30,8 @@ UNDETERMINED = "und"
 FEATURES = 1 << 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
+# 64 MB of log-probabilities
+MAX_LANGUAGES = 512
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,6 +46,12 @@ def features(points: np.ndarray, order: int) -> np.ndarray:
     return ((out + np.uint64(order)) * _MULTIPLIER >> np.uint64(64 - 15)).astype(np.int32)
 
 
+def across(marks: np.ndarray, order: int) -> np.ndarray:
+    """Where n-grams begin that reach past the space behind their text, into the next one."""
+    ends = [marks[1:][marks[1:] - 1 - j >= marks[:-1]] - 1 - j for j in range(order - 2)]
+    return np.concatenate(ends) if ends else np.zeros(0, np.int64)
+
+
 COUNTS = "lang string, feature int, n bigint"
 
 
@@ -59,6 +68,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.setdefault(name, np.zeros(FEATURES + 1, dtype=np.int64))
             for order in ORDERS:
                 key = owner.astype(np.int64) * FEATURES + features(points, order)[: len(owner)]
+                key = np.delete(key, across(marks, order))
                 table = np.bincount(key, minlength=len(names) * FEATURES).reshape(len(names), FEATURES)
                 for name, row in zip(names, table, strict=True):
                     sums[name][:-1] += row
@@ -83,6 +93,8 @@ class Model:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Sums over all rows that have a language; the driver gets one row per language and counter."""
     known = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: {lang_col} is not a language column")
     sums = known.mapInArrow(_counted, COUNTS).groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(sums["lang"].to_pylist(), dtype=object)
     languages = sorted(set(names.tolist()))
@@ -111,8 +123,11 @@ def _predicted(shared):
                 total = np.tile(model.priors, (n, 1))
                 for order in ORDERS if model.languages else ():
                     at = features(points, order)[: marks[-1]]
+                    beyond = across(marks, order)
                     for k in range(len(model.languages)):
-                        total[:, k] += np.add.reduceat(model.weights[at, k], marks[:-1], dtype=np.float64)
+                        weight = model.weights[at, k]
+                        weight[beyond] = 0.0
+                        total[:, k] += np.add.reduceat(weight, marks[:-1], dtype=np.float64)
                 names, scores = [UNDETERMINED] * n, np.zeros(n)
                 if model.languages:
                     best = total.argmax(axis=1)

@@ -2,23 +2,27 @@
 
 Folding makes letters lower-case and plain: accents go, look-alike letters of other
 scripts and digits written for letters become the Latin letter, anything else is a
-space. A lexicon entry is the beginning of a word; it matches at word starts only.
-Exception phrases are matched too, and entries inside one do not count.
+space. A lexicon entry is the beginning of a word, or a whole word where that is short; it
+matches at word starts only. Exception phrases are matched too, and entries inside one do
+not count.
 
 Entries and weights are learned from labelled rows. Up to `sample_rows` rows of each
-label, those with the smallest id hashes, are joined to their texts; in each, the
-distinct beginnings of its words are counted; a beginning whose documents are labelled
+label, those with the smallest id hashes, are joined to their texts; in each distinct
+text, the distinct beginnings of its words are counted; a beginning whose texts are labelled
 toxic much more often than by chance becomes an entry with the logarithm of the odds as
 weight, unless a shorter beginning already says as much; of these, entries are kept, most
-documents first, that explain toxic documents no kept one does. The same sample fits a logistic
+texts first, that explain toxic texts no kept one does. Exceptions are given, and learned:
+two neighbouring words, one of which an entry matches, that are in several clean texts and
+in hardly any toxic one. The sample fits a logistic
 curve over the summed weight, by itself and per square root of the words, so a score
-is a probability normalised by length. Lexicon and curve are at most `max_entries`
-entries and a few numbers, and are all that is sent to tasks.
+is a probability normalised by length. The lexicon holds no more words than the bounded
+sample, and nothing else but a few numbers is sent to tasks.
 
 Defined results: a text that is null, empty or without a match has the score of no
-match; with no toxic row to learn from, every score is the share of toxic rows (0
-without any); rows with a null label teach nothing; repeated rows are scored one by
-one, and repeated labels of one id teach repeatedly. Extra columns are ignored.
+match; with no toxic row to learn from, or none that has a text, no text is toxic (all
+scores are next to 0); rows with a null label teach nothing; repeated rows are scored one by
+one; texts that repeat in the sample teach the lexicon once and the curve each time. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,9 +48,10 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "moron test", "sore loser"
 
 @dataclass(frozen=True)
 class Settings:
-    # bounds of the labelled sample, per label, and of the lexicon
+    # bound of the labelled sample, per label
     sample_rows: int = 10_000
-    max_entries: int = 5_000
+    # letters of a word's beginning; shorter words, from `whole` letters on, are entries as a whole
+    whole: int = 2
     shortest: int = 4
     longest: int = 10
     # documents an entry needs, the share of them that are toxic, and its odds over chance
@@ -56,6 +61,9 @@ class Settings:
     # or explains so many toxic documents that no other entry does
     common_share: float = 0.05
     min_explained: int = 2
+    # clean texts an exception needs, and the largest share of toxic ones
+    min_exception: int = 5
+    max_exception_share: float = 0.05
     seed: str = "toxicity"
 
 
@@ -137,6 +145,8 @@ def _beginnings(settings: Settings):
                     words = set(joined[marks[i] : marks[i + 1]].split())
                     sizes = range(settings.shortest, settings.longest + 1)
                     counts[label].update({w[:k] for w in words for k in sizes if len(w) >= k})
+                    short = range(settings.whole, settings.shortest)
+                    counts[label].update({w + " " for w in words if len(w) in short})
         entries = list(set(counts[0]) | set(counts[1]))
         yield pa.record_batch(
             [
@@ -164,7 +174,10 @@ def _hits(entries: list[str]):
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 joined, marks = folded(part.column(0).to_pylist())
-                found = [sorted({k for _, k in automaton.iter(joined, s, e)}) for s, e in zip(marks[:-1], marks[1:], strict=True)]
+                # a text ends with the space before the next one
+                found = [
+                    sorted({k for _, k in automaton.iter(joined, s, e + 1)}) for s, e in zip(marks[:-1], marks[1:], strict=True)
+                ]
                 yield pa.record_batch([pa.array(found, pa.list_(pa.int32()))], names=["hits"])
 
     return run
@@ -197,6 +210,36 @@ def _explaining(texts: DataFrame, weights: dict[str, float], share: float, least
     return kept
 
 
+def _pairs(weights: dict[str, float]):
+    """Two neighbouring words of which an entry matches one, and in how many texts they are."""
+    sizes = sorted({len(e) for e in weights})
+
+    def matched(word: str) -> bool:
+        return any(word[:k] in weights for k in sizes) or word + " " in weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                joined, marks = folded(part.column(0).to_pylist())
+                for i, label in enumerate(part.column(1).to_pylist()):
+                    words = joined[marks[i] : marks[i + 1]].split()
+                    hit = [matched(w) for w in words]
+                    near = {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
+                    counts[label].update(near)
+        phrases = list(set(counts[0]) | set(counts[1]))
+        yield pa.record_batch(
+            [
+                pa.array(phrases, pa.string()),
+                pa.array([counts[1][e] for e in phrases], pa.int64()),
+                pa.array([counts[0][e] for e in phrases], pa.int64()),
+            ],
+            names=["entry", "toxic", "clean"],
+        )
+
+    return run
+
+
 MEASURED = "total double, words bigint, label int"
 
 
@@ -250,27 +293,46 @@ def fit(
     chosen = F.broadcast(staged(chosen[0].unionByName(chosen[1]).select("_id", "label"), "labelled"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id")
     texts = staged(texts.select("text", "label").repartition(16), "labelled-texts")
-    counted = texts.mapInArrow(_beginnings(settings), COUNTED).groupBy("entry")
+    once = staged(texts.dropDuplicates(["label", "text"]), "labelled-texts-once")
+    sampled = {row["label"]: row["n"] for row in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sampled.get(1):
+        return Lexicon({}, exceptions, (-20.0, 0.0, 0.0))
+    counted = once.mapInArrow(_beginnings(settings), COUNTED).groupBy("entry")
     counted = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     # classes are sampled apart: weigh them as the labels have them
-    sampled = {k: min(shares.get(k, 0), settings.sample_rows) for k in (0, 1)}
+    sampled = {k: sampled.get(k, 0) for k in (0, 1)}
     t = F.col("t") * F.lit(shares[1] / max(sampled[1], 1))
     c = F.col("c") * F.lit(shares.get(0, 0) / max(sampled[0], 1))
     odds = F.log((t + 0.5) / (shares[1] + 1) / ((c + 0.5) / (shares.get(0, 0) + 1)))
     good = counted.filter((F.col("t") >= settings.min_documents) & (t >= settings.min_share * (t + c)))
-    rows = good.select("entry", odds.alias("weight"), "t", "c").filter("weight > 1")
-    rows = rows.orderBy(F.desc("t"), "entry").limit(settings.max_entries).collect()
+    good = staged(good.select("entry", odds.alias("weight"), F.col("t").alias("n"), "c").filter("weight > 1"), "beginnings")
+    # a beginning in the same texts as a shorter one says nothing more
+    cut = F.sequence(F.lit(1), F.length("entry") - 1)
+    shorter = good.filter(F.length("entry") > 1).select(
+        "entry", "n", "c", F.explode(F.transform(cut, lambda k: F.substring(F.col("entry"), F.lit(1), k))).alias("short")
+    )
+    same = good.select(F.col("entry").alias("short"), "n", "c")
+    said = shorter.join(same, ["short", "n", "c"]).select("entry").distinct()
+    rows = good.join(said, "entry", "left_anti").select("entry", "weight").collect()
     weights: dict[str, float] = {}
     for row in sorted(rows, key=lambda r: (len(r["entry"]), r["entry"])):
         entry = row["entry"]
         shorter = [weights[entry[:k]] for k in range(1, len(entry)) if entry[:k] in weights]
         if not shorter or max(shorter) < row["weight"] - 0.7:
             weights[entry] = row["weight"]
-    lexicon = Lexicon(_explaining(texts, weights, settings.common_share, settings.min_explained), exceptions)
+    weights = _explaining(once, weights, settings.common_share, settings.min_explained)
+    phrases: list[str] = []
+    if weights:
+        near = once.mapInArrow(_pairs(weights), COUNTED).groupBy("entry")
+        near = near.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        rare = t <= settings.max_exception_share * (t + c)
+        phrases = [r["entry"] for r in near.filter((F.col("c") >= settings.min_exception) & rare).collect()]
+    lexicon = Lexicon(weights, [*exceptions, *sorted(phrases)])
     seen = texts.mapInArrow(_measured(lexicon), MEASURED).toArrow()
     arrays = [seen[c].to_numpy().astype(float) for c in ("total", "words", "label")]
     curve = list(_curve(*arrays))
-    curve[0] += math.log(shares[1] / sampled[1]) - math.log(max(shares.get(0, 0), 1) / max(sampled[0], 1))
+    taken = {k: max(1, int((arrays[2] == k).sum())) for k in (0, 1)}
+    curve[0] += math.log(shares[1] / taken[1]) - math.log(max(shares.get(0, 0), 1) / taken[0])
     lexicon.curve = tuple(curve) if n else lexicon.curve
     return lexicon
 

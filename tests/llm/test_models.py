@@ -39,22 +39,37 @@ def test_language_of_awkward_rows(spark, docs, nothing):
 
 
 def test_language_scores_are_bayes(spark):
-    rows = [row(1, "aab ab", "x"), row(2, "bba", "y"), row(3, "ab", None)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    model = language_id.fit(docs)
-    counts = {}
-    for text, lang in (("aab ab", "x"), ("bba", "y")):
-        counts[lang] = Counter()
-        padded = f" {text} "
-        for i in range(len(padded) - 1):
-            counts[lang].update(padded[i : i + n] for n in (2, 3) if i < len(text) + 1 and i + n <= len(padded))
-    got = {r.doc: r for r in language_id.predict(docs, model).collect()}
-    like = {}
-    for lang, c in counts.items():
-        grams = [g for i in range(3) for g in (" ab "[i : i + 2], " ab "[i : i + 3]) if len(g) in (2, 3)]
-        total = sum(c.values()) + language_id.SMOOTHING * language_id.FEATURES
-        like[lang] = math.log(0.5) + sum(math.log((c[g] + language_id.SMOOTHING) / total) for g in grams)
-    assert got[3].lang_pred == max(like, key=like.get)
+    """Label and score of every row, from counts of plain n-grams."""
+    rows = [row(1, "aab ab", "x"), row(2, "bba", "y"), row(3, "ab", None), row(4, "abba bab aab", "y"), row(5, "Bä-ß 7", "z"), row(6, "z", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+
+    def grams(text):
+        low = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        return [low[i : i + n] for n in (2, 3) for i in range(len(low) - n + 1)]
+
+    got = {r.doc: r for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    langs = sorted({r[2] for r in rows if r[2]})
+    counts = {x: Counter(g for r in rows if r[2] == x for g in grams(r[1])) for x in langs}
+    prior = {x: sum(r[2] == x for r in rows) / 5 for x in langs}
+    for r in rows:
+        like = {}
+        for x in langs:
+            total = sum(counts[x].values()) + language_id.SMOOTHING * language_id.FEATURES
+            like[x] = math.log(prior[x]) + sum(
+                math.log((counts[x][g] + language_id.SMOOTHING) / total) for g in grams(r[1])
+            )
+        best = max(langs, key=lambda x: like[x])
+        share = 1 / sum(math.exp(v - like[best]) for v in like.values())
+        assert got[r[0]].lang_pred == best
+        assert got[r[0]].score == pytest.approx(share, rel=1e-4)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [row(k, "some text", f"l{k}") for k in range(4)]
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert language_id.fit(spark.createDataFrame(rows[:3], SCHEMA)).languages == ["l0", "l1", "l2"]
 
 
 def test_folding():
@@ -100,12 +115,67 @@ def test_longer_texts_score_lower_for_one_match(spark):
     assert got[1] >= got[2]
 
 
+def test_copies_of_a_toxic_text_do_not_crowd_out_its_term(spark):
+    """Words that only come along in copies are no entries; a term of few other texts is."""
+    copies = " ".join(["snarkle", *(f"along{k}x" for k in range(400))])
+    rows = [row(k, copies) for k in range(60)]
+    rows += [row(100 + k, " ".join([*prose(900 + k, 30), "grumbold", *prose(950 + k, 30)])) for k in range(12)]
+    rows += [row(200 + k, " ".join([*prose(k, 50), "snarkle"])) for k in range(10)]
+    clean = [row(300 + k, " ".join(prose(2000 + k, 60))) for k in range(400)]
+    labels = [(r[0], 1) for r in rows] + [(r[0], 0) for r in clean]
+    docs = spark.createDataFrame(rows + clean, SCHEMA)
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("grumbold".startswith(e) for e in lexicon.weights)
+    assert not any(e.startswith("along") and len(e) > 5 for e in lexicon.weights)
+    got = {r.doc: r.score for r in toxicity.scored(docs, lexicon).collect()}
+    assert all(got[100 + k] >= 0.5 for k in range(12)) and all(got[r[0]] < 0.5 for r in clean)
+
+
+def test_short_words_and_learned_exceptions(spark):
+    rows, labels = [], []
+    for k in range(400):
+        text, toxic = prose(k, 30), k % 4 == 0
+        text[10:12] = ["zug", "hello"] if toxic else ["zug", "fish"] if k % 80 == 1 else ["calm", "fish"]
+        rows.append(row(k, " ".join(text)))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    settings = toxicity.Settings(min_share=0.9)
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), settings=settings)
+    assert "zug " in lexicon.weights and "zug fish" in lexicon.exceptions and "zug hello" not in lexicon.exceptions
+    few = [row(1, "zug"), row(2, "zug fish"), row(3, "zugs"), row(4, "a zug and a zug fish"), row(5, "azug")]
+    got = {r.doc: r.weight for r in toxicity.scored(spark.createDataFrame(few, SCHEMA), lexicon).collect()}
+    one = lexicon.weights["zug "]
+    assert got == {1: one, 2: 0, 3: 0, 4: one, 5: 0}
+
+
+def test_weights_and_scores_match_a_plain_version(spark):
+    docs, labels = toxic_corpus(spark)
+    lexicon = toxicity.fit(docs, labels)
+    a, b, c = lexicon.curve
+    phrases = [f" {toxicity.fold(p)} " for p in lexicon.exceptions]
+    for r in toxicity.scored(docs, lexicon).collect():
+        text = " " + toxicity.fold(next(x.text for x in docs.filter(F.col("doc_id") == r.doc).collect())) + " "
+        total = 0.0
+        for at in range(len(text)):
+            inside = any(text.startswith(p, s) for p in phrases for s in range(max(0, at - len(p) + 2), at + 1))
+            if text[at] == " " and not inside:
+                total += sum(w for e, w in lexicon.weights.items() if text.startswith(" " + e, at))
+        assert r.weight == pytest.approx(total) and r.words == len(text.split())
+        z = a + b * math.log1p(total) + c * total / math.sqrt(max(r.words, 1))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
+        if r.doc >= 20:
+            break
+
+
 def test_toxicity_without_lessons(spark, docs, nothing):
     labels = spark.createDataFrame([(10, 0), (11, None)], "doc_id long, toxic int")
     untaught = toxicity.fit(docs, labels)
     assert {r.score < 0.5 for r in toxicity.scored(docs, untaught).collect()} == {True}
     assert toxicity.scored(docs, untaught).count() == len(awkward())
     assert toxicity.scored(nothing, untaught).count() == 0
+    # labels, but no text of a toxic row
+    alone = toxicity.fit(docs, spark.createDataFrame([(10, 0), (99999, 1)], "doc_id long, toxic int"))
+    assert {r.score < 0.5 for r in toxicity.scored(docs, alone).collect()} == {True}
 
 
 def backoff_scores(rows, order, alpha):
