@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from finchlab.llm.common import staged
 from finchlab.llm.components import connected_components
-from finchlab.llm.words import find_words, mix, pieces, stream, word_hashes
+from finchlab.llm.words import find_words, give_back, mix, pieces, stream, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -136,6 +136,7 @@ def _signed(size: int, bands: int, rows: int):
                     ],
                     names=["doc", "n_shingles", "a", "b", "bands"],
                 )
+            give_back()
 
     return run
 
@@ -156,6 +157,7 @@ def _sets(size: int):
                     [part.column(0), pa.array(np.diff(marks)), pa.array(packed, pa.binary())],
                     names=["doc", "n", "shingles"],
                 )
+            give_back()
 
     return run
 
@@ -178,6 +180,7 @@ def _verified(percent: int):
                 common = int((both[1:] == both[:-1]).sum())
                 fits[i] = 100 * common >= percent * (len(both) - common)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(fits))
+        give_back()
 
     return run
 

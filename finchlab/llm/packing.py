@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from finchlab.llm.common import staged
 from finchlab.llm.tokens import encoder
-from finchlab.llm.words import pieces
+from finchlab.llm.words import give_back, pieces
 
 WINDOW = 4096
 END_ID = 2
@@ -129,7 +129,7 @@ def _packed(path: str, end_id: int, size: int):
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for some in pieces(batch, "text", 8 << 20):
+            for some in pieces(batch, "text", 4 << 20):
                 ids, marks = encoder(path).encode(some.column(1))
                 names = some.column(0).to_pylist()
                 for i, name in enumerate(names):
@@ -146,6 +146,7 @@ def _packed(path: str, end_id: int, size: int):
                 waiting = {p[0] for stack in packer.open.values() for w in stack for p in w}
                 docs = {k: v for k, v in docs.items() if k in waiting}
                 yield written()
+            give_back()
         for window in packer.drain():
             close(window)
         yield written()
