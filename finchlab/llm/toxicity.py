@@ -135,20 +135,16 @@ def _inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
 COUNTED = "entry string, toxic bigint, clean bigint"
 
 
-def _beginnings(settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
-                joined, marks = folded(part.column(0).to_pylist())
-                for i, label in enumerate(part.column(1).to_pylist()):
-                    words = set(joined[marks[i] : marks[i + 1]].split())
-                    sizes = range(settings.shortest, settings.longest + 1)
-                    counts[label].update({w[:k] for w in words for k in sizes if len(w) >= k})
-                    short = range(settings.whole, settings.shortest)
-                    counts[label].update({w + " " for w in words if len(w) in short})
-        entries = list(set(counts[0]) | set(counts[1]))
-        yield pa.record_batch(
+# entries counted in a task before they are sent on
+_HELD = 1 << 18
+
+
+def _counted(found):
+    """Entries and in how many toxic and clean texts they are; `found` gives the distinct entries of each text."""
+
+    def sent(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        entries = list(counts[0].keys() | counts[1].keys())
+        batch = pa.record_batch(
             [
                 pa.array(entries, pa.string()),
                 pa.array([counts[1][e] for e in entries], pa.int64()),
@@ -156,10 +152,35 @@ def _beginnings(settings: Settings):
             ],
             names=["entry", "toxic", "clean"],
         )
+        for c in counts:
+            c.clear()
+        return batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                joined, marks = folded(part.column(0).to_pylist())
+                for i, label in enumerate(part.column(1).to_pylist()):
+                    counts[label].update(found(joined[marks[i] : marks[i + 1]].split()))
+                    if len(counts[0]) + len(counts[1]) > _HELD:
+                        yield sent(counts)
+        yield sent(counts)
 
     return run
 
 
+def _beginnings(settings: Settings):
+    sizes = range(settings.shortest, settings.longest + 1)
+    short = range(settings.whole, settings.shortest)
+
+    def found(words: list[str]) -> set[str]:
+        words = set(words)
+        return {w[:k] for w in words for k in sizes if len(w) >= k} | {w + " " for w in words if len(w) in short}
+
+    return _counted(found)
+
+
 HITS = "hits array<int>"
 
 
@@ -217,27 +238,11 @@ def _pairs(weights: dict[str, float]):
     def matched(word: str) -> bool:
         return any(word[:k] in weights for k in sizes) or word + " " in weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
-                joined, marks = folded(part.column(0).to_pylist())
-                for i, label in enumerate(part.column(1).to_pylist()):
-                    words = joined[marks[i] : marks[i + 1]].split()
-                    hit = [matched(w) for w in words]
-                    near = {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
-                    counts[label].update(near)
-        phrases = list(set(counts[0]) | set(counts[1]))
-        yield pa.record_batch(
-            [
-                pa.array(phrases, pa.string()),
-                pa.array([counts[1][e] for e in phrases], pa.int64()),
-                pa.array([counts[0][e] for e in phrases], pa.int64()),
-            ],
-            names=["entry", "toxic", "clean"],
-        )
+    def found(words: list[str]) -> set[str]:
+        hit = [matched(w) for w in words]
+        return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
 
-    return run
+    return _counted(found)
 
 
 MEASURED = "total double, words bigint, label int"
@@ -293,7 +298,7 @@ def fit(
     chosen = F.broadcast(staged(chosen[0].unionByName(chosen[1]).select("_id", "label"), "labelled"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id")
     texts = staged(texts.select("text", "label").repartition(16), "labelled-texts")
-    once = staged(texts.dropDuplicates(["label", "text"]), "labelled-texts-once")
+    once = staged(texts.dropDuplicates(["label", "text"]).repartition(16), "labelled-texts-once")
     sampled = {row["label"]: row["n"] for row in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sampled.get(1):
         return Lexicon({}, exceptions, (-20.0, 0.0, 0.0))
