@@ -51,6 +51,15 @@ HEADLINE = [
     "logreg",
     "score_posts",
     "stream_ingest",
+    "knn_classifier",
+    "knn_approximate",
+    "held_out_long",
+    "first_copies_streamed",
+    "best_cut_per_feature",
+    "adaboost_votes",
+    "rforest_untuned",
+    "gbt",
+    "grid_search",
 ]
 
 
