@@ -83,7 +83,7 @@ def test_control_csv_order_and_sinks(spark, tmp_path):
 
 def test_single_post(spark):
     row = readers.single_post(spark, "hello").first()
-    assert row.asDict() == {"author": None, "content": "hello", "publish_date": None, "target": None}
+    assert row.asDict() == {"author": None, "content": "hello", "publish_date": None, "target": None, "post_id": 0}
 
 
 def test_union_fills_missing_columns(spark):
