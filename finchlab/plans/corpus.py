@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finchlab.functions import text as X
@@ -82,27 +82,41 @@ def trim_step_counts(
 
 def trim_posts_counted(
     posts: DataFrame, order: list[str], path: str, language: str = "English", keep: list[str] = ()
-) -> DataFrame:
-    """Write `trim_posts` to `path`; the counts of `trim_step_counts` are taken by that one job.
+) -> tuple[DataFrame, DataFrame]:
+    """`trim_posts` and the counts of `trim_step_counts`, both from one pass over the posts.
 
-    What is observed on the way are five numbers, whatever the input.
+    The aggregate that finds the first copy of each text counts its rows step by step, and
+    is written to `path`, one row per text; the counts are sums over its narrow columns.
+    (Not `observe`: a session that has observed once can no longer serialise ML models.)
     """
-    seen, left = Observation("seen"), Observation("left")
+    columns = list(dict.fromkeys([*keep, *POST_COLUMNS]))
     flagged = F.col("retweet") == 0
     original = flagged & ~F.col("content").startswith("RT ")
-    watched = posts.observe(
-        seen,
-        F.count(F.lit(1)).alias("input"),
+    native = original & (F.col("language") == language)
+    row = F.struct(*dict.fromkeys([*order, *columns]))
+    per_text = posts.groupBy(F.coalesce(F.sha2("content", 256), F.lit("null")).alias("text")).agg(
+        F.min(F.when(native, row)).alias("first"),
+        F.count("*").alias("input"),
         F.count_if(flagged).alias("retweet_flag"),
         F.count_if(original).alias("retweet_prefix"),
-        F.count_if(original & (F.col("language") == language)).alias("language"),
+        F.count_if(native).alias("language"),
     )
-    trimmed = trim_posts(watched, order, language, keep).observe(left, F.count(F.lit(1)).alias("distinct_text"))
-    trimmed.write.parquet(path)
-    counts = seen.get | left.get
+    per_text.drop("text").write.parquet(path)
+    written = posts.sparkSession.read.schema(per_text.drop("text").schema).parquet(path)
     steps = ["input", "retweet_flag", "retweet_prefix", "language", "distinct_text"]
-    rows = [(i, s, counts[s], counts[steps[max(i - 1, 0)]] - counts[s]) for i, s in enumerate(steps)]
-    return posts.sparkSession.createDataFrame(rows, "step int, stage string, rows long, filtered_out long")
+    sums = written.agg(
+        *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in steps[:-1]],
+        F.count_if(F.col("language") > 0).alias("distinct_text"),
+    )
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("step"), F.lit(s).alias("stage"), F.col(s).alias("rows"),
+            (F.col(steps[max(i - 1, 0)]) - F.col(s)).alias("filtered_out"),
+        )
+        for i, s in enumerate(steps)
+    ])
+    trimmed = written.filter("first is not null").select(*[F.col("first")[c].alias(c) for c in columns])
+    return trimmed, sums.select(F.inline(rows))
 
 
 def control_posts(raw: DataFrame, order: list[str], keep: list[str] = ()) -> DataFrame:

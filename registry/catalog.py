@@ -366,9 +366,9 @@ def trim_step_counts(spark, sf):
 
 @query(_TRIM_STEPS)
 def trim_steps_written(spark, sf):
-    """The same counts, taken by the job that writes the trimmed posts."""
+    """The same counts, taken by the pass that trims the posts."""
     path = f"{checkpoint_dir(spark)}/trimmed-{uuid.uuid4().hex}"
-    return corpus.trim_posts_counted(labelled_posts(spark, sf), ["publish_date", "post_id"], path)
+    return corpus.trim_posts_counted(labelled_posts(spark, sf), ["publish_date", "post_id"], path)[1]
 
 
 _MONTHS = (

@@ -86,15 +86,17 @@ def test_sketches_of_ranges(spark):
     assert {(t["item"], t["count"]) for t in whole["hashtags"]} == {("#a", 900), ("#b0", 450), ("#b1", 450)}
 
 
-def test_counts_taken_while_writing(spark, tmp_path):
+def test_counts_taken_by_the_pass_that_trims(spark, tmp_path):
     rows = [
         (1, "x", "RT a", None, "English", 0, 1), (2, "x", "b", None, "English", 1, 1), (3, "x", "c", None, "French", 0, 1),
         (4, "x", "d", None, "English", 0, 1), (5, "x", "d", None, "English", 0, 1), (6, "x", "e", None, "English", 0, 1),
     ]
     posts = spark.createDataFrame(rows, SCHEMA + ", language string, retweet int, target int")
     path = str(tmp_path / "trimmed")
-    counted = corpus.trim_posts_counted(posts, ["post_id"], path, keep=["post_id"])
+    trimmed, counted = corpus.trim_posts_counted(posts, ["post_id"], path, keep=["post_id"])
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, corpus.trim_step_counts(posts).collect()))
-    assert sorted(r["post_id"] for r in spark.read.parquet(path).collect()) == [4, 6]
-    empty = corpus.trim_posts_counted(posts.limit(0), ["post_id"], str(tmp_path / "none"))
+    wanted = corpus.trim_posts(posts, ["post_id"], keep=["post_id"])
+    assert sorted(map(tuple, trimmed.collect())) == sorted(map(tuple, wanted.collect()))
+    assert trimmed.columns == wanted.columns and [r["post_id"] for r in trimmed.orderBy("post_id").collect()] == [4, 6]
+    _, empty = corpus.trim_posts_counted(posts.limit(0), ["post_id"], str(tmp_path / "none"))
     assert {r["rows"] for r in empty.collect()} == {0}
