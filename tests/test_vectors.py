@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from finchlab.operators.lemmas import lemmas_from_corpus, lemmatize_by_join
 from finchlab.operators.lists import exploded, with_ngrams
 from finchlab.plans import vectors as V
+from finchlab.session import spread
 
 BLOCK = V.Block("words", "text", 4, True, 3, ["thanks"])
 
@@ -150,3 +151,48 @@ def test_lemmas_from_corpus(spark):
     words = spark.createDataFrame([(w,) for w in "foxes fox cats cat gas cities city".split()], "token string")
     got = {r["token"]: r["lemma"] for r in lemmas_from_corpus(words).collect()}
     assert got == {"cats": "cat", "cities": "city"} | ({"foxes": "fox"} if "foxes" in got else {})
+
+
+def test_lemmas_by_join_do_not_make_words_to_test_them(spark):
+    """Tested before they are exploded, words would be made at the scan, below any exchange: in one task for one row group."""
+    table = spark.createDataFrame([("runs", "run")], "token string, lemma string")
+    df = texts(spark, ["runs far", "it runs"]).repartition(4, "post_id").withColumn("w", F.split("text", " "))
+    joined = lemmatize_by_join(df.select("post_id", "w"), "post_id", "w", table)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "split" in line]
+    assert {r["post_id"]: r["w"] for r in joined.collect()} == {0: ["run", "far"], 1: ["it", "run"]}
+
+
+def test_lemmas_of_long_texts_are_placed_without_searching_a_map(spark):
+    """Words times changes would be 4 * 10**10 steps."""
+    table = spark.createDataFrame([("a", "b")], "token string, lemma string")
+    df = spark.range(1).select("id", F.array_repeat(F.lit("a"), 200_000).alias("w"))
+    joined = lemmatize_by_join(df, "id", "w", table)
+    assert "element_at" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.select(F.size("w"), F.array_distinct("w")).first()[:] == (200_000, ["b"])
+
+
+def test_lemmas_keep_rows_without_key_or_words(spark):
+    table = spark.createDataFrame([("a", "b")], "token string, lemma string")
+    rows = [(1, ["x", "a", "y", "a"]), (2, None), (None, ["a"]), (4, ["y", "a"]), (5, ["a", "a", "x"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    got = {r["id"]: r["w"] for r in lemmatize_by_join(df, "id", "w", table).collect()}
+    assert got == {1: ["x", "b", "y", "b"], 2: None, None: ["a"], 4: ["y", "b"], 5: ["b", "b", "x"]}
+
+
+def test_rows_of_one_row_group_are_spread_however_many_splits_there_are(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(2000).coalesce(1).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > cores
+        sizes = [len(part) for part in spread(df, "id").rdd.glom().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 2000 / 2
+        even = spark.range(0, 2000, 1, 2 * cores)
+        assert spread(even, "id") is even
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
