@@ -264,3 +264,26 @@ def test_approximate_neighbours_find_most_and_measure_right(spark):
     assert sorted(r["train_id"] for r in got if r["query_id"] == 1300) == [0, 1000, 1001, 1002, 1003, 1004]
     assert lsh.approximate_nearest(df.limit(0), queries, 3).count() == 0
     assert lsh.approximate_nearest(df, queries.limit(0), 3).count() == 0
+
+
+def test_queries_travel_once_to_a_block_of_cells():
+    """However many of its cells they visit."""
+    block = knn._blocks(np.array([3, 4, 9, 0, 2, 2]), 7)
+    assert block.tolist() == [0, 0, 1, 2, 2, 2]
+    rows, cells = np.array([0, 0, 0, 1, 1, 2]), np.array([0, 1, 4, 0, 1, 5])
+    row, own, start = knn._of_blocks(rows, cells, block)
+    assert list(zip(row.tolist(), own.tolist(), strict=True)) == [(0, 0), (0, 2), (1, 0), (2, 2)]
+    assert [c.tolist() for c in np.split(cells, start[1:])] == [[0, 1], [4], [0, 1], [5]]
+
+
+def test_approximate_neighbours_leave_a_task_k_at_a_time(spark):
+    """Pairs that share a bucket are not rows of a join."""
+    from finchlab.operators import lsh
+
+    rows = [(i, [float(i % 7), float(i % 11), float(i)], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, label int")
+    near = lsh.approximate_nearest(df, df, 4, bucket_rows=300, probes=1, tables=2)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["rank"]): r["train_id"] for r in near.collect()}
+    want = {(r["query_id"], r["rank"]): r["train_id"] for r in knn.nearest(df, df, 4).collect()}
+    assert len(got) == 1200 and sum(got[at] == want[at] for at in want) > 900
