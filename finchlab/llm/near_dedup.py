@@ -15,12 +15,14 @@ A document is its set of distinct word shingles, as 64-bit hashes.
   shingle among the `(1 - t) |set| + 1` that come first in one global order, rare
   first, and no more shingles can be common than follow the first common one in either
   set. Documents that already hang together need no further pair, so only such
-  shingles are used whose documents lie in different components.
+  shingles are used whose documents lie in different components: `2**24` slots tell
+  first where components meet, and only shingles of such slots become rows.
 * **Verification** counts the common shingles of full sets. Links are joined into
   components by union-find inside tasks, then rounds of smallest-neighbour hooking.
 
 Frequencies for the order come from `2**20` counters (any order is correct; the
-counters only decide how rare "rare" is), and are the one thing sent to all tasks.
+counters only decide how rare "rare" is). They and a bit per slot are all that is sent
+to all tasks.
 
 Defined results: null or empty text has an empty set and links with nothing; fewer
 words than the shingle size make one shingle of all words; ids must not be null to
@@ -49,6 +51,9 @@ BANDS, ROWS = 32, 3
 SLOTS = 97
 CROWD = 48
 COUNTERS = 1 << 20
+# slots in which shingles of different components are looked for
+MEETING_BITS = 24
+MEETING_BLOCK = (1 << MEETING_BITS) // 32
 
 _PLACE = stream(64, 31) | np.uint64(1)
 _RANK = stream(SLOTS, 32)
@@ -185,34 +190,95 @@ def _verified(percent: int):
     return run
 
 
-PREFIX = "shingle bigint, doc bigint, n bigint, component bigint, at bigint"
+RARE = "doc bigint, n bigint, component bigint, shingles binary"
 
 
-def _prefixes(percent: int, counters: np.ndarray):
-    """The shingles of a set that come first in the global order, rare first."""
+def _rare_first(percent: int, counters: np.ndarray):
+    """The shingles of a set that come first in the global order, rare first, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen, owner, place = [], [], []
-            for i in range(batch.num_rows):
-                s = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
+            packed = []
+            for value in batch.column(3):
+                s = np.frombuffer(value.as_buffer(), dtype=np.uint64)
                 # at least ceil(t n) shingles are common to any partner
                 need = -(-percent * len(s) // 100)
-                k = len(s) - need + 1
-                rank = np.lexsort((s, counters[(s >> np.uint64(44)).astype(np.int64)]))[:k]
-                chosen.append(s[rank])
-                owner.append(np.full(k, i))
-                place.append(np.arange(k))
-            if not chosen:
-                continue
-            rows = pa.array(np.concatenate(owner))
+                rank = np.lexsort((s, counters[(s >> np.uint64(44)).astype(np.int64)]))[: len(s) - need + 1]
+                packed.append(s[rank].tobytes())
+            columns = [batch.column(i) for i in range(3)]
+            yield pa.record_batch([*columns, pa.array(packed, pa.binary())], names=["doc", "n", "component", "shingles"])
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All packed shingles of a batch, the row of each and its slot."""
+    sets = [np.frombuffer(value.as_buffer(), dtype=np.uint64) for value in batch.column(3)]
+    shingles = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    rows = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], dtype=np.int64))
+    return shingles, rows, (shingles >> np.uint64(64 - MEETING_BITS)).astype(np.int64)
+
+
+MET = "block int, slots binary, low binary, high binary"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task, the smallest and largest component of the shingles in each slot, in blocks of slots."""
+    slots, low, high = (np.zeros(0, np.int64) for _ in range(3))
+    for batch in batches:
+        _, rows, slot = _flat(batch)
+        component = batch.column(2).to_numpy(zero_copy_only=False)[rows]
+        every, least = np.concatenate((slots, slot)), np.concatenate((low, component))
+        most = np.concatenate((high, component))
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else every
+        if len(every):
+            slots = every[first]
+            low, high = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+    blocks, starts = np.unique(slots // MEETING_BLOCK, return_index=True)
+    ends = [*starts, len(slots)][1:]
+    own = (slots % MEETING_BLOCK).astype(np.int32)
+    columns = [[x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] for x in (own, low, high)]
+    arrays = [pa.array(blocks, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]]
+    yield pa.record_batch(arrays, names=["block", "slots", "low", "high"])
+
+
+MEETINGS = "block int, open binary"
+
+
+def _meetings(rows: pa.Table) -> pa.Table:
+    """The slots of one block in which components meet, as bits."""
+    low = np.full(MEETING_BLOCK, np.iinfo(np.int64).max)
+    high = np.full(MEETING_BLOCK, np.iinfo(np.int64).min)
+    for slots, least, most in zip(*(rows[c] for c in ("slots", "low", "high")), strict=True):
+        at = np.frombuffer(slots.as_buffer(), np.int32)
+        low[at] = np.minimum(low[at], np.frombuffer(least.as_buffer(), np.int64))
+        high[at] = np.maximum(high[at], np.frombuffer(most.as_buffer(), np.int64))
+    bits = np.packbits(low < high).tobytes()
+    return pa.table({"block": rows["block"].slice(0, 1), "open": pa.array([bits], pa.binary())})
+
+
+PREFIX = "shingle bigint, doc bigint, n bigint, component bigint, at bigint"
+
+
+def _prefixes(open_: np.ndarray):
+    """A row for each packed shingle whose slot is open, with its place in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_open = np.unpackbits(open_).view(bool)
+        for batch in batches:
+            shingles, owner, slot = _flat(batch)
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            go = is_open[slot]
+            rows = pa.array(owner[go])
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate(chosen).view(np.int64)),
+                    pa.array(shingles[go].view(np.int64)),
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     batch.column(2).take(rows),
-                    pa.array(np.concatenate(place)),
+                    pa.array(place[go]),
                 ],
                 names=["shingle", "doc", "n", "component", "at"],
             )
@@ -344,9 +410,18 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, component: DataFrame, pe
     # COUNTERS numbers, whatever the input
     for row in summed.collect():
         counters[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], dtype=np.int64)
-    prefixes = staged(own.mapInArrow(_prefixes(percent, counters), PREFIX), "prefixes")
-    open_ = prefixes.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    members = prefixes.join(open_.filter("c0 < c1").select("shingle"), "shingle")
+    rare = staged(own.mapInArrow(_rare_first(percent, counters), RARE), "rare-shingles")
+    # a shingle of one component links nothing new: only those get rows that share a slot with another component
+    open_ = np.zeros((1 << MEETING_BITS) // 8, dtype=np.uint8)
+    met = rare.mapInArrow(_met, MET).groupBy("block").applyInArrow(_meetings, MEETINGS)
+    # a bit per slot, whatever the input
+    for row in met.collect():
+        bits = np.frombuffer(row["open"], dtype=np.uint8)
+        open_[row["block"] * len(bits) : (row["block"] + 1) * len(bits)] = bits
+    prefixes = staged(rare.mapInArrow(_prefixes(open_), PREFIX), "prefixes")
+    # a slot may hold several shingles
+    shared = prefixes.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    members = prefixes.join(shared.filter("c0 < c1").select("shingle"), "shingle")
     x, y = (members.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in PREFIX_COLUMNS]) for side in "xy")
     # no more than what follows the first common shingle can be common
     most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))

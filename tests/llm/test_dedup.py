@@ -106,6 +106,22 @@ def test_crowded_groups_lose_no_link(spark):
         assert got == component
 
 
+def test_a_group_that_hangs_together_makes_no_rows_per_shingle(spark, monkeypatch):
+    made, write = {}, near_dedup.staged
+
+    def counting(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counting)
+    docs = spark.createDataFrame(crowd()[:91], SCHEMA).repartition(4)
+    groups = {r.component_id for r in near_dedup.near_groups(docs, crowd=4).collect()}
+    assert groups == {0}
+    assert made["crowded"] > 0
+    assert made["prefixes"] == 0
+
+
 def test_drop_near_copies(docs):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
