@@ -60,6 +60,24 @@ def test_pruning_is_exact_under_ties(spark):
     assert [r["term"] for r in got] == ["w000", "w000 x000", "w001"]
 
 
+def test_pruning_leaves_out_grams_over_rare_words(spark):
+    rows = [f"aa bb rare{i:03d} aa bb" for i in range(20)] + ["aa zz zz"]
+    block = V.Block("words", "text", 2, True, 3, ["thanks"])
+    counted = V.term_counts(texts(spark, rows), [block], prune=True).collect()
+    assert not [r["term"] for r in counted if "rare" in r["term"] or "zz" in r["term"]]
+    assert {r["term"]: (r["cf"], r["df"]) for r in counted} == {"aa": (41, 21), "bb": (40, 20), "aa bb": (40, 20)}
+    got = V.vocabulary(texts(spark, rows), [block]).collect()
+    assert {r["term"]: (r["cf"], r["df"]) for r in got} == brute_vocabulary(rows, 2)
+
+
+def test_pruning_keeps_grams_over_words_tied_with_the_last(spark):
+    # "aa zz" is as frequent as "mm", sorts before it, and "zz" is not among the first words
+    rows = ["aa zz", "aa zz", "mm", "mm", "aa"]
+    block = V.Block("words", "text", 2, True, 2)
+    got = V.vocabulary(texts(spark, rows), [block]).orderBy("idx").collect()
+    assert [r["term"] for r in got] == ["aa", "aa zz"]
+
+
 def test_tfidf_formula_and_norm(spark):
     df = texts(spark, ROWS)
     fitted = V.fit_vectors(df, [BLOCK], numerics=[])
