@@ -314,6 +314,24 @@ def test_ranges_change_nothing(folded):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) > 100
 
 
+def test_a_round_reads_few_ranges_and_finds_the_best_of_all_cuts(spark, folded):
+    ranges = adaboost.range_table(folded.sparse, folded.cuts)
+    rows = adaboost.weighted(folded.sparse, folded.cuts, [-1, 0, 1], "fold")
+    extents = adaboost.Extents.of(rows, ranges)
+    recent = [[], [], []]
+    for _ in range(4):
+        found = adaboost._best(rows, extents, recent, [0, 2])
+        every = adaboost.cuts_of(adaboost.with_units(rows, 3, recent, [0, 2]), 2, ranges)
+        best = {r["fold"]: r["cut"].asDict() for r in every.groupBy("fold").agg(F.max("cut").alias("cut")).collect()}
+        assert found == [best[0], best[1]]
+        for i, cut in zip([0, 2], found, strict=True):
+            stump, _, after = adaboost._stump(cut, False)
+            recent[i].append((stump, after))
+    sums = adaboost.slot_sums(rows, recent, [0]).toArrow()
+    few, _ = adaboost._open_ranges(sums, 1, extents)
+    assert 0 < len(few) < len(extents.slot) / 2
+
+
 def test_logistic_folds_match_single_fits_of_mllib(table, folded):
     fitted = logistic.fit_folds(folded.sparse, WIDTH, [-1, *folded.folds], "fold", strength=0.5)
     fold = folded.sparse.select(F.col("key").alias("post_id"), "fold")
