@@ -314,6 +314,21 @@ def test_ranges_change_nothing(folded):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) > 100
 
 
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_histograms_from_entries_are_those_of_all_cells(plain, folded, share):
+    rng = np.random.default_rng(1)
+    rows = np.flatnonzero(rng.random(len(plain)) < share)
+    node = rng.integers(0, 3, len(rows))
+    sums = [trees.fixed(rng.normal(size=len(plain))), np.ones(len(plain))]
+    assert len(plain.row) < plain.x.size
+    got = trees._entry_sums(plain, rows, node, 3, sums, folded.cuts).reshape(2, 3, WIDTH, folded.cuts.bins)
+    wanted = np.zeros_like(got)
+    for k, s in enumerate(sums):
+        for r, n in zip(rows, node, strict=True):
+            wanted[k, n, np.arange(WIDTH), plain.x[r]] += s[r]
+    assert (got == wanted).all()
+
+
 def test_a_round_reads_few_ranges_and_finds_the_best_of_all_cuts(spark, folded):
     ranges = adaboost.range_table(folded.sparse, folded.cuts)
     rows = adaboost.weighted(folded.sparse, folded.cuts, [-1, 0, 1], "fold")
