@@ -187,3 +187,18 @@ def test_feature_plan_has_no_python_and_no_shuffle(spark):
     plan = post_features(posts_frame(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("pattern", sorted(P.QUICK))
+def test_quick_patterns_match_the_same_characters(spark, pattern):
+    assert X.quick(pattern) != pattern
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i : i + 4096]) for i in range(0, len(points), 4096)] + ["".join(points[::4099])]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        X.matches(F.col("t"), pattern).alias("quick"),
+        F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("plain"),
+        X.without(F.col("t"), pattern).alias("rest"),
+        F.regexp_replace("t", pattern, "").alias("plain_rest"),
+    )
+    assert found.filter(F.size("plain") > 0).count() > 0
+    assert found.filter("quick != plain or rest != plain_rest").count() == 0

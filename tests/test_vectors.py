@@ -171,6 +171,14 @@ def test_lemmas_from_corpus(spark):
     assert got == {"cats": "cat", "cities": "city"} | ({"foxes": "fox"} if "foxes" in got else {})
 
 
+def test_lemmas_from_corpus_read_written_tokens(spark, tmp_path):
+    spark.createDataFrame([("cats",), ("cat",), ("cats",)], "token string").write.parquet(f"{tmp_path}/words")
+    out = lemmas_from_corpus(spark.read.parquet(f"{tmp_path}/words"))
+    # the words themselves are read once, for the table of distinct tokens
+    assert out.inputFiles() and all("/known-" in path for path in out.inputFiles())
+    assert [tuple(r) for r in out.collect()] == [("cats", "cat")]
+
+
 def test_lemmas_by_join_do_not_make_words_to_test_them(spark):
     """Tested before they are exploded, words would be made at the scan, below any exchange: in one task for one row group."""
     table = spark.createDataFrame([("runs", "run")], "token string, lemma string")
