@@ -37,44 +37,98 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 PAIRS = 1024
 LEAST = 12
-_SLOTS = 18
-
-
-def frequent_pairs(left: np.ndarray, right: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` frequent pairs, no symbol on both sides of two pairs, most frequent first; none if none occurs `least` times."""
-    key = (left.astype(np.uint64) << np.uint64(32)) | right
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-    # a pair is no more frequent than its slot: only pairs of full slots are counted one by one
-    full = np.bincount(slot, minlength=1 << _SLOTS)
-    floor = max(least, int(np.partition(full, -2 * most)[-2 * most]))
-    # full slots may hold rare pairs only; then all that can reach `least` are counted
-    for at_least in sorted({floor, least}, reverse=True):
-        pairs, counts = np.unique(key[full[slot] >= at_least], return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] >= least]
-        if len(order):
-            break
+
+
+def chosen_pairs(keys: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
+    """Places of up to `most` frequent pairs, no symbol on both sides of two pairs, most frequent first."""
+    if len(keys) > 2 * most:
+        top = np.argpartition(-counts, 2 * most)[: 2 * most]
+    else:
+        top = np.arange(len(keys))
+    top = top[np.lexsort((keys[top], -counts[top]))]
     is_left, is_right, chosen = set(), set(), []
-    for k in pairs[order].tolist():
+    for at, k in zip(top.tolist(), keys[top].tolist(), strict=True):
         a, b = k >> 32, k & 0xFFFFFFFF
         if a in is_right or b in is_left or (a == b and a in is_left):
             continue
         is_left.add(a)
         is_right.add(b)
-        chosen.append((a, b))
+        chosen.append(at)
         if len(chosen) == most:
             break
-    both = np.array(chosen, dtype=np.uint32).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def second_of_run(seq: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Where a pair of one symbol with itself overlaps the pair before it, counted from the start of the run."""
+    return chosen
+
+
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.uint64) << np.uint64(32)) | right
+
+
+def in_order(places: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by their pairs, and where another pair begins. Pair and place are sorted as one number if they fit."""
+    wide = int(max(left.max(), right.max())).bit_length()
+    far = int(places[-1]).bit_length()
+    if 2 * wide + far <= 64:
+        key = (left.astype(np.uint64) << np.uint64(wide) | right) << np.uint64(far) | places.astype(np.uint64)
+        key.sort()
+        places = (key & np.uint64((1 << far) - 1)).astype(np.int64)
+        key >>= np.uint64(far)
+    else:
+        key = pair_keys(left, right)
+        order = np.argsort(key, kind="stable")
+        places, key = places[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return places, new
+
+
+class Pairs:
+    """Occurrences of the pairs of two different symbols, kept up to date from round to round.
+
+    `at` names the pair that begins at each place; 0 stands for the end of a document, for
+    a symbol followed by itself, and for all pairs that occur less than `least` times: a
+    replacement brings no old symbols together, so a pair of old symbols never gets more
+    frequent, and these are not looked at again.
+    """
+
+    def __init__(self, seq: np.ndarray, inner: np.ndarray, least: int):
+        self.least = least
+        self.at = np.zeros(len(seq), dtype=np.int32)
+        self.keys, self.counts = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+        self.count(seq, inner, np.arange(len(seq)))
+
+    def count(self, seq: np.ndarray, inner: np.ndarray, places: np.ndarray) -> None:
+        """Name the pairs at `places`, all of them pairs not counted before."""
+        places = places[places < len(seq) - 1]
+        places = places[inner[places]]
+        left, right = seq[places], seq[places + 1]
+        apart = left != right
+        places, left, right = places[apart], left[apart], right[apart]
+        if not len(places):
+            return
+        places, new = in_order(places, left, right)
+        start = np.flatnonzero(new)
+        counts = np.diff(start, append=len(places))
+        frequent = counts >= self.least
+        name = np.zeros(len(start), dtype=np.int32)
+        name[frequent] = len(self.keys) + np.arange(np.count_nonzero(frequent))
+        self.at[places] = np.repeat(name, counts)
+        first = places[start[frequent]]
+        self.keys = np.concatenate((self.keys, pair_keys(seq[first], seq[first + 1])))
+        self.counts = np.concatenate((self.counts, counts[frequent]))
+
+    def forget(self, places: np.ndarray) -> None:
+        self.counts -= np.bincount(self.at[places], minlength=len(self.counts))
+        self.counts[0] = 0
+        self.at[places] = 0
+
+
+def doubles(seq: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Where a symbol is followed by itself, two by two from the start of a run, so that no two of them overlap."""
     at = np.flatnonzero((seq[:-1] == seq[1:]) & inner[:-1])
     if not len(at):
         return at
     new = np.concatenate(([True], np.diff(at) != 1))
-    return at[(at - at[new][np.cumsum(new) - 1]) % 2 == 1]
+    return at[(at - at[new][np.cumsum(new) - 1]) % 2 == 0]
 
 
 def compress(
@@ -87,38 +141,53 @@ def compress(
     inner = np.ones(len(seq), dtype=bool)
     inner[marks[1:][marks[1:] > 0] - 1] = False  # the last id of each document
     rules = [np.zeros((0, 2), dtype=np.uint32)]
+    pairs = Pairs(seq, inner, least)
     while len(seq) > 1 and (rounds is None or len(rules) <= rounds):
-        apart = inner[:-1].copy()
-        apart[second_of_run(seq, inner)] = False
-        where = np.flatnonzero(apart)
-        left, right = frequent_pairs(seq[where], seq[where + 1], most, least)
-        if not len(left):
+        # a symbol followed by itself: few places, looked for anew as runs get shorter from either end
+        twin = doubles(seq, inner)
+        double, times = np.unique(seq[twin], return_counts=True)
+        double, times = double[times >= least], times[times >= least]
+        often = np.flatnonzero(pairs.counts >= least)
+        keys = np.concatenate((pairs.keys[often], pair_keys(double, double)))
+        chosen = chosen_pairs(keys, np.concatenate((pairs.counts[often], times)), most)
+        if not chosen:
             break
-        as_left = np.full(symbols, -1, dtype=np.int32)
-        as_right = np.full(symbols, -1, dtype=np.int32)
-        lefts, rights = np.unique(left), np.unique(right)
-        as_left[lefts] = np.arange(len(lefts))
-        as_right[rights] = np.arange(len(rights))
-        rule = np.full((len(lefts) + 1, len(rights) + 1), -1, dtype=np.int32)
-        rule[as_left[left], as_right[right]] = np.arange(len(left))
-        hit = rule[as_left[seq[:-1]], as_right[seq[1:]]]
-        hit[~apart] = -1
+        both = keys[chosen]
+        of_pair = np.full(len(pairs.keys), -1, dtype=np.int32)
+        of_double: dict[int, int] = {}
+        for k, i in enumerate(chosen):
+            if i < len(often):
+                of_pair[often[i]] = k
+            else:
+                of_double[int(double[i - len(often)])] = k
+        hit = of_pair[pairs.at]
+        for symbol, k in of_double.items():
+            hit[twin[seq[twin] == symbol]] = k
         at = np.flatnonzero(hit >= 0)
-        seq[at] = symbols + hit[at].astype(np.uint32)
+        new = symbols + hit[at].astype(np.uint32)
+        gone = np.zeros(len(seq) + 1, dtype=bool)
+        gone[at] = gone[at + 1] = gone[at - 1] = True  # place -1 is none
+        pairs.forget(np.flatnonzero(gone[:-1]))
+        seq[at] = new
         inner[at] = inner[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq, inner = seq[keep], inner[keep]
-        rules.append(np.stack((left, right), axis=1))
-        symbols += len(left)
+        seq, inner, pairs.at = seq[keep], inner[keep], pairs.at[keep]
+        # the new symbols lie as many places further on the left as there are before them
+        at -= np.arange(len(at))
+        beside = np.zeros(len(seq) + 1, dtype=bool)
+        beside[at] = beside[at - 1] = True
+        pairs.count(seq, inner, np.flatnonzero(beside[:-1]))
+        rules.append(np.stack((both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        symbols += len(both)
     table = np.concatenate(rules)
-    lengths = np.zeros(len(table), dtype=np.int64)
-    for k, (a, b) in enumerate(table.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+    lengths: list[int] = []
+    for a, b in table.tolist():
+        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
     ends = np.flatnonzero(~inner) + 1
     empty = np.diff(marks) == 0
     starts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(~empty)))]
-    return seq, starts, table, lengths, base
+    return seq, starts, table, np.array(lengths, dtype=np.int64), base
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -137,6 +206,17 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand_shard(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids of the whole reduced sequence of a shard: every rule is expanded once, then looked up."""
+    known = np.concatenate((np.arange(base, dtype=np.uint32), expand(rules.ravel(), rules, base)))
+    size = np.concatenate((np.ones(base, dtype=np.int64), lengths))
+    first = np.cumsum(size) - size
+    size = size[seq]
+    source = np.repeat(first[seq] - (np.cumsum(size) - size), size)
+    source += np.arange(len(source))
+    return known[source]
+
+
 def sequence(shard: dict) -> np.ndarray:
     """The reduced sequence; two bytes a symbol where all fit."""
     return np.frombuffer(shard["symbols"], f"<u{shard['width']}").astype(np.uint32)
@@ -243,9 +323,9 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             big = seq >= row["base"]
             size[big] = lengths[seq[big] - row["base"]]
             marks = np.concatenate(([0], np.cumsum(size)))[starts]
-            ids = expand(seq, rules, row["base"]).astype("<u4")
+            ids = memoryview(expand_shard(seq, rules, lengths, row["base"]).astype("<u4", copy=False))
             n = len(row["docs"])
-            crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(marks[:-1], marks[1:], strict=True)]
+            crc = [zlib.crc32(ids[s:e]) for s, e in zip(marks[:-1], marks[1:], strict=True)]
             yield pa.record_batch(
                 [
                     pa.array([row["part"]] * n, pa.int32()),

@@ -105,6 +105,36 @@ def test_compress_goes_on_until_no_pair_is_frequent(most):
     assert np.concatenate(([0], np.cumsum(sizes)))[starts].tolist() == marks.tolist()
 
 
+def test_counts_of_pairs_are_kept_up_to_date(monkeypatch):
+    """Each round takes the most frequent pairs of the sequence as the rounds before left it, without counting it anew."""
+    rng = np.random.default_rng(7)
+    parts = [rng.choice(30, 700, p=np.arange(1, 31)[::-1] / 465) for _ in range(6)]
+    parts += [np.full(77, 3), np.zeros(0, int), np.tile([3, 3, 3, 4, 4], 60)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    marks = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    counted = []
+    count = token_files.Pairs.count
+    monkeypatch.setattr(token_files.Pairs, "count", lambda self, seq, inner, at: counted.append(len(at)) or count(self, seq, inner, at))
+    for done in range(5):
+        seq, starts, rules, _, base = token_files.compress(ids, marks, done, most=20)
+        after = token_files.compress(ids, marks, done + 1, most=20)[2][len(rules) :].tolist()
+        plain = plain_pairs(seq, starts)
+        times = [plain[tuple(pair)] for pair in after]
+        assert times == sorted(times, reverse=True) and min(times) >= token_files.LEAST
+        assert times[0] == max(plain.values())
+    assert counted[-1] < counted[-6] == len(ids)
+    shard = token_files.compress(ids, marks, most=20)
+    assert token_files.expand_shard(shard[0], *shard[2:]).tolist() == ids.tolist()
+
+
+def test_pairs_of_large_ids():
+    """Pair and place do not fit one number."""
+    ids = np.tile(np.array([5, 2**31, 7, 2**31 + 9], dtype=np.uint32), 40)
+    seq, starts, rules, lengths, base = token_files.compress(ids, np.array([0, 100, 160]))
+    assert len(seq) < len(ids) / 4 and starts.tolist()[0] == 0
+    assert token_files.expand(seq, rules, base).tolist() == ids.tolist()
+
+
 def test_packing(docs, nothing):
     path = public_tokenizers.path(FILES[1])
     got = [r.asDict() for r in packing.packed(docs, path, size=64).collect()]
