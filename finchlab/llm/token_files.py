@@ -36,6 +36,10 @@ from finchlab.llm.words import pieces
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 PAIRS = 1024
+# text that is encoded at once; pieces of text repeat in it
+ENCODED_BYTES = 16 << 20
+# parts per generation: more than such a text has, about 80 MB
+REMEMBERED = 400_000
 LEAST = 12
 
 
@@ -270,21 +274,26 @@ def _encoded(path: str, end_id: int, shard_tokens: int, rounds: int | None):
             return pa.record_batch(row, names=[f.split()[0] for f in SHARDS.split(", ")])
 
         for batch in batches:
-            for some in pieces(batch, "text", 4 << 20):
-                ids, marks = encoder(path).encode(some.column(1))
-                # the end id behind each document
-                size = np.diff(marks) + 1
-                both = np.full(len(ids) + some.num_rows, end_id, dtype=np.uint32)
-                own = np.ones(len(both), dtype=bool)
-                own[np.cumsum(size) - 1] = False
-                both[own] = ids
-                names.append(some.column(0))
-                held.append(both)
-                sizes.append(size)
-                total += len(both)
-                if total >= shard_tokens:
-                    yield written()
-                    shard, names, held, sizes, total = shard + 1, [], [], [], 0
+            # encoded many at a time, as a piece of text is looked up once for all of them
+            for many in pieces(batch, "text", ENCODED_BYTES):
+                coded, ends = encoder(path, REMEMBERED).encode(many.column(1))
+                low = 0
+                for some in pieces(many, "text"):
+                    marks = ends[low : low + some.num_rows + 1]
+                    low += some.num_rows
+                    # the end id behind each document
+                    size = np.diff(marks) + 1
+                    both = np.full(marks[-1] - marks[0] + some.num_rows, end_id, dtype=np.uint32)
+                    own = np.ones(len(both), dtype=bool)
+                    own[np.cumsum(size) - 1] = False
+                    both[own] = coded[marks[0] : marks[-1]]
+                    names.append(some.column(0))
+                    held.append(both)
+                    sizes.append(size)
+                    total += len(both)
+                    if total >= shard_tokens:
+                        yield written()
+                        shard, names, held, sizes, total = shard + 1, [], [], [], 0
         if names:
             yield written()
 

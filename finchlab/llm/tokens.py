@@ -42,7 +42,8 @@ _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +81,7 @@ class Encoder:
             else:
                 letters = part.encode().decode("latin-1").translate(_LETTERS)
             got = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if len(self.parts) >= REMEMBERED:
+        if len(self.parts) >= self.remembered:
             self.older, self.parts = self.parts, {}
         self.parts[part] = got
         return got
@@ -127,16 +128,19 @@ class Encoder:
         marks = units.offsets.to_numpy()
         marks = marks - marks[0]
         coded = units.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # strings by way of numpy: in a list of Arrow's each is made from a scalar of its own
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = coded.indices.to_numpy().astype(np.int64)
         if not n or not len(index):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         space = " " if self.keep_space else ""
         # where spaces are kept, the first piece of a text has none
         first = marks[:-1]
         unsafe = self._unsafe(coded.dictionary)
-        owner = np.repeat(np.arange(n), np.diff(marks))
         whole = np.zeros(n, dtype=bool)
-        whole[owner[unsafe[index]]] = True
+        if unsafe.any():
+            owner = np.repeat(np.arange(n), np.diff(marks))
+            whole[owner[unsafe[index]]] = True
         piece = self._piece
         pool = [b"" if bad else piece(w, space) for w, bad in zip(words, unsafe.tolist(), strict=True)]
         if self.keep_space:
@@ -145,17 +149,18 @@ class Encoder:
             at[heads] = len(pool) + np.arange(len(heads))
             pool += [b"" if unsafe[h] else self._piece(words[h], "") for h in heads]
             index[first] = at[index[first]]
-        index = np.where(whole[owner], len(pool), index)
-        pool.append(b"")
-        for i in np.flatnonzero(whole):
-            index[marks[i]] = len(pool)
-            pool.append(self._whole(column[int(i)].as_py()))
+        if whole.any():
+            index[whole[owner]] = len(pool)
+            pool.append(b"")
+            for i in np.flatnonzero(whole):
+                index[marks[i]] = len(pool)
+                pool.append(self._whole(column[int(i)].as_py()))
         flat, ends = _joined(pool)
         size = np.diff(ends)[index]
         total = np.concatenate(([0], np.cumsum(size)))
         # where each id comes from: its piece's place in the pool, shifted to its own
-        source = np.repeat(ends[:-1][index] - total[:-1], size)
-        source += np.arange(total[-1])
+        source = np.repeat((ends[:-1][index] - total[:-1]).astype(np.int32), size)
+        source += np.arange(total[-1], dtype=np.int32)
         return flat[source], total[marks]
 
 
@@ -165,6 +170,6 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One per Python worker; a reused worker keeps it."""
-    return Encoder(path)
+    return Encoder(path, remembered)
