@@ -72,9 +72,13 @@ def in_order(places: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
     wide = int(max(left.max(), right.max())).bit_length()
     far = int(places[-1]).bit_length()
     if 2 * wide + far <= 64:
-        key = (left.astype(np.uint64) << np.uint64(wide) | right) << np.uint64(far) | places.astype(np.uint64)
+        key = left.astype(np.uint64)
+        key <<= np.uint64(wide)
+        key |= right
+        key <<= np.uint64(far)
+        key |= places.view(np.uint64)
         key.sort()
-        places = (key & np.uint64((1 << far) - 1)).astype(np.int64)
+        places = (key & np.uint64((1 << far) - 1)).view(np.int64)
         key >>= np.uint64(far)
     else:
         key = pair_keys(left, right)
@@ -98,18 +102,14 @@ class Pairs:
         self.least = least
         self.at = np.zeros(len(seq), dtype=np.int32)
         self.keys, self.counts = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64)
-        self.count(seq, inner, np.arange(len(seq)))
-
-    def count(self, seq: np.ndarray, inner: np.ndarray, places: np.ndarray) -> None:
-        """Name the pairs at `places`, all of them pairs not counted before."""
-        places = places[places < len(seq) - 1]
-        places = places[inner[places]]
-        left, right = seq[places], seq[places + 1]
-        apart = left != right
-        places, left, right = places[apart], left[apart], right[apart]
+        self.count(seq, inner, np.ones(len(seq), dtype=bool))
+
+    def count(self, seq: np.ndarray, inner: np.ndarray, marked: np.ndarray) -> None:
+        """Name the pairs at the marked places, all of them pairs not counted before."""
+        places = np.flatnonzero(marked[:-1] & inner[:-1] & (seq[:-1] != seq[1:]))
         if not len(places):
             return
-        places, new = in_order(places, left, right)
+        places, new = in_order(places, seq[places], seq[places + 1])
         start = np.flatnonzero(new)
         counts = np.diff(start, append=len(places))
         frequent = counts >= self.least
@@ -181,7 +181,7 @@ def compress(
         at -= np.arange(len(at))
         beside = np.zeros(len(seq) + 1, dtype=bool)
         beside[at] = beside[at - 1] = True
-        pairs.count(seq, inner, np.flatnonzero(beside[:-1]))
+        pairs.count(seq, inner, beside[:-1])
         rules.append(np.stack((both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
         symbols += len(both)
     table = np.concatenate(rules)

@@ -141,8 +141,11 @@ class Encoder:
         if unsafe.any():
             owner = np.repeat(np.arange(n), np.diff(marks))
             whole[owner[unsafe[index]]] = True
-        piece = self._piece
-        pool = [b"" if bad else piece(w, space) for w, bad in zip(words, unsafe.tolist(), strict=True)]
+        # a piece of letters is one part, and its ids are known or not
+        known = self.parts.get
+        pool = [known(space + w) if w.isalpha() else None for w in words]
+        for i in [i for i, got in enumerate(pool) if got is None]:
+            pool[i] = b"" if unsafe[i] else self._piece(words[i], space)
         if self.keep_space:
             heads = pc.unique(pa.array(index[first])).to_numpy()
             at = np.zeros(len(words), dtype=np.int64)
