@@ -384,3 +384,63 @@ def test_registered_settings_are_the_whole_job():
     assert len(selection.compared_forests()) == 5
     assert models.boosted_trees().settings()["rounds"] == 100
     assert adaboost.AdaBoost().getOrDefault("rounds") == 50
+
+
+def of_trees(grown):
+    """Trees as nested tuples: nodes are numbered differently where trees grow beside each other."""
+    g = grown.grove
+
+    def node(i):
+        sums = tuple(g.sums[i])
+        return (sums,) if g.feature[i] < 0 else (sums, int(g.feature[i]), int(g.cut[i]), node(g.left[i]), node(g.left[i] + 1))
+
+    return [node(i) for i in g.root]
+
+
+def test_a_table_held_by_a_task_gives_the_same_models(folded, monkeypatch):
+    settings = [Setting(5), Setting(4, "entropy", 3, 3, 10), decision_tree(4), decision_tree()]
+
+    def everything():
+        trees_ = [of_trees(g) for g in forests.grow_settings(folded.rows, folded.cuts, settings, [-1, *folded.folds])]
+        counts = [
+            selection.adaboost_counts(folded, rounds=6),
+            selection.adaboost_counts(folded, rounds=6, algorithm=adaboost.BY_CLASS),
+            selection.boosted_counts(folded, rounds=12, depth=2),
+        ]
+        return trees_, [sorted(map(tuple, c.collect())) for c in counts]
+
+    held = everything()
+    monkeypatch.setattr(binned, "HELD_CELLS", 0)
+    monkeypatch.setattr(trees, "_WIDE", 1)
+    dealt = everything()
+    assert held == dealt
+    assert len(held[1][0]) and max(len(str(t)) for t in held[0][0]) > 500
+
+
+def test_stumps_of_a_held_table_are_those_of_the_rounds(spark, folded):
+    own = folded.sparse.select("y", "fold", "entries")
+    found = adaboost.held_stumps(spark, binned.held(own, WIDTH, F.size("entries")), [-1, *folded.folds], rounds=8)
+    rows = adaboost.weighted(folded.sparse, folded.cuts, [-1, *folded.folds], "fold")
+    wanted = adaboost.boost(rows, adaboost.range_table(folded.sparse, folded.cuts), [-1, *folded.folds], rounds=8)
+    assert [[(s.feature, s.threshold) for s in own] for own in found] == [[(s.feature, s.threshold) for s in own] for own in wanted]
+    for one, other in zip(found, wanted, strict=True):
+        assert np.allclose([(s.left, s.right) for s in one], [(s.left, s.right) for s in other], atol=1e-12)
+
+
+def test_folds_of_a_small_table_are_fitted_in_few_jobs(spark, folded):
+    """A job per level, round and fold took most of the time of a cross-validation of small tables."""
+    context = spark.sparkContext
+    context.setJobGroup("folds", "folds")
+    forests.grow_settings(folded.rows, folded.cuts, [Setting(20), decision_tree(5)], folded.folds)
+    selection.adaboost_counts(folded).collect()
+    selection.boosted_counts(folded).collect()
+    jobs = context.statusTracker().getJobIdsForGroup("folds")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 40
+
+
+def test_larger_tables_are_not_held(folded, monkeypatch):
+    assert binned.held_rows(folded.rows, folded.cuts) is not None
+    assert binned.held_rows(folded.rows.limit(0), folded.cuts) is None
+    monkeypatch.setattr(binned, "HELD_ENTRIES", 10)
+    assert binned.held_rows(folded.rows, folded.cuts) is None
