@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -287,3 +288,45 @@ def test_approximate_neighbours_leave_a_task_k_at_a_time(spark):
     got = {(r["query_id"], r["rank"]): r["train_id"] for r in near.collect()}
     want = {(r["query_id"], r["rank"]): r["train_id"] for r in knn.nearest(df, df, 4).collect()}
     assert len(got) == 1200 and sum(got[at] == want[at] for at in want) > 900
+
+
+def block_of(x, cells, ids=None):
+    n = len(x)
+    ids = np.arange(n) if ids is None else ids
+    rows = [pa.array(ids), pa.array(np.arange(n) % 3, pa.int32()), pa.array([[int(c)] for c in cells], pa.list_(pa.int32())), pa.array(list(x))]
+    return knn._Block([pa.record_batch(rows, names=["id", "label", "cells", "v"])])
+
+
+def asked(x, ids, cells):
+    lists = pa.array([list(range(cells))] * len(x), pa.list_(pa.int32()))
+    return pa.record_batch([pa.array(ids), lists, pa.array(list(x))], names=["id", "cells", "v"])
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**-46, 2.0**60])
+def test_cells_are_searched_within_the_best_so_far(scale):
+    """Products in four or eight bytes, copies and repeated keys: the rows that all distances give."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5), scale=3).round() * scale  # equal distances are exactly equal
+    x[50:90] = x[7]
+    ids = np.arange(600) // 2 * 2 + 5  # each key twice
+    block = block_of(x, rng.integers(0, 9, 600), ids)
+    for skip in (False, True):
+        found = block.best(asked(x[:80], ids[:80], 9), 6, skip)
+        for i in range(80):
+            gap = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+            wanted = sorted((d, t) for d, t in zip(gap, ids, strict=True) if not (skip and t == ids[i]))[:6]
+            own = found[found["at"] == i]
+            assert list(own["train_id"]) == [t for _, t in wanted]
+            assert np.allclose(own["distance"], [d for d, _ in wanted], rtol=1e-12)
+
+
+def test_few_distances_are_computed_term_by_term(monkeypatch):
+    """A cell gave its k best for every query, however far they were from the best of the cells before."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(32 * 64, 8))
+    sent = []
+    plain = knn._Block._distances
+    monkeypatch.setattr(knn._Block, "_distances", lambda s, q, rows, cols: sent.append(len(rows)) or plain(s, q, rows, cols))
+    block_of(x, np.arange(len(x)) // 64).best(asked(x[:200], np.arange(200), 32), 10, True)
+    # k for the first cell, and about k more each time the rows seen have doubled
+    assert sum(sent) < 200 * 10 * 12
